@@ -3,15 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii, secret_dfa, simhash_mih, wfq_mix
-from .common import table
+from . import decontaminate, langid_gru, media_sniff, pii, quality_gam, secret_dfa, simhash_mih, token_counts, toxicity_subword, wfq_mix
+from .common import key_mod, table
+
+
+def _scored(scored: DataFrame, held_out, score: str) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_sniff.report(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = key_mod(F.col("doc_id"), 3) == 1
+    model = quality_gam.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(quality_gam.with_score(docs, model, out="quality_score"), held_out, "quality_score")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfq_mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = key_mod(F.col("doc_id"), 5) == 0
+    model = toxicity_subword.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(toxicity_subword.with_score(docs, model), held_out, "toxicity")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = key_mod(F.col("doc_id"), 5) == 0
+    net = langid_gru.fit(docs, ~held_out)
+    found = langid_gru.with_language(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_dfa.report(table(spark, sf_dir, "documents"))
 
@@ -20,9 +51,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_mih.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op6_secret_scan, op7_pii, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_media, op2_quality, op3_mix_sources, op4_toxicity, op5_language, op6_secret_scan, op7_pii, op8_decontaminate, op9_token_counts, op10_simhash)
+}
 ORACLE_SQL = {"op3_mix_sources": wfq_mix.ORACLE}

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -289,6 +289,15 @@ def compile_rules(rules: tuple = RULES) -> Automaton:
     return Automaton(rules, (table * 256).ravel().tolist(), accepting, marks, back, tails)
 
 
+def plain(auto: Automaton) -> tuple:
+    """``auto`` as built-in values, which any worker can read."""
+    return [astuple(r) for r in auto.rules], auto.table, auto.accepting, auto.marks, auto.back, auto.tails
+
+
+def restored(values: tuple) -> Automaton:
+    return Automaton(tuple(Rule(*r) for r in values[0]), *values[1:])
+
+
 def scan(data: bytes, auto: Automaton) -> list[tuple[int, int, int]]:
     """``(start, end, rule number)`` in bytes, leftmost and not overlapping within a rule, sorted."""
     table, accepting, marks = auto.table, auto.accepting, auto.marks
@@ -337,9 +346,11 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", rules: tuple = RULES) -> DataFrame:
     """Add ``out``: an array of ``(kind, start, end)`` in code points, by start, then rule. Null and empty texts have none."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(plain(compile_rules(rules)))
+
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
-        auto = compile_rules(rules)
+        auto = restored(sent.value)
         return pd.Series([[{"kind": auto.rules[n].kind, "start": a, "end": b} for a, b, n in find_secrets(t, auto)] for t in texts])
 
     return docs.withColumn(out, spans(F.col(text)))
@@ -348,9 +359,11 @@ def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", rule
 def redact(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFrame:
     """``docs`` with every secret replaced by ``[kind]``; overlapping spans become one, named by the first. Null stays null."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(plain(compile_rules(rules)))
+
     @F.pandas_udf(T.StringType())
     def masked(texts: pd.Series) -> pd.Series:
-        auto = compile_rules(rules)
+        auto = restored(sent.value)
         out = []
         for t in texts:
             parts, at = [], 0
@@ -367,10 +380,11 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple = RULES) -> DataFra
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
     """One row per input row: counts of the base kinds, digest of the base spans, all spans as text."""
     kinds = [r.kind for r in rules]
+    sent = docs.sparkSession.sparkContext.broadcast(plain(compile_rules(rules)))
 
     @F.pandas_udf(T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in kinds] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]))
     def summed(texts: pd.Series) -> pd.DataFrame:
-        auto = compile_rules(rules)
+        auto = restored(sent.value)
         out = []
         for t in texts:
             found = find_secrets(t, auto)
