@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import stratified
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 16
 DIM = 8
 LENGTHS = (3, 4, 5)
 BLOCK = 1 << 20  # bytes of a text whose n-grams are hashed at once
@@ -33,7 +33,7 @@ EPOCHS = 8
 STEPS = 600  # at least; a small sample is gone through more often
 BATCH = 64
 SMOOTH = 400  # n-grams without meaning that each mean includes, so that few n-grams give no certainty
-RATE = 0.02
+RATE = 0.05
 DECAY = 0.05  # pull of embeddings to zero, against odds read from few rows
 SPREAD = 16.0  # of the embeddings' steps: larger is slower
 
