@@ -108,9 +108,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     return named.select(F.col("key").alias(key), F.col("item").alias(item), same.alias("matched"), "window", (same / F.col("window")).alias("similarity"), at.alias("at"), "th")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """``overlaps`` without its text hash."""
-    return overlaps(docs, benchmark, **names).drop("th").distinct()
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", **options) -> DataFrame:
+    """``overlaps`` by key alone: of equal keys with different texts the better match."""
+    found = overlaps(docs, benchmark, key=key, item=item, **options)
+    return found.groupBy(key, item, "window").agg(F.max("matched").alias("matched")).withColumn("similarity", F.col("matched") / F.col("window"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,3 +121,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 assert all(len(mask) == SHORTEST for mask in MASKS) and math.ceil(WINDOW * SIMILARITY) == WINDOW - 2
+
+#: DuckDB SQL for ``report`` over ``documents`` and ``benchmark``, whose items have 13 words or more: all equal words, then windows on each diagonal.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents),
+dw AS (SELECT doc_id, t[i] AS w, i FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM d)),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark),
+bw AS (SELECT item_id, t[j] AS w, j FROM (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS j FROM b WHERE len(t) >= 5)),
+m AS (SELECT doc_id, item_id, i - j AS shift, j FROM dw JOIN bw USING (w)),
+c AS (
+  SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS same
+  FROM m QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= 4)
+SELECT doc_id, item_id, CAST(least(13, len(b.t)) AS INTEGER) AS "window", CAST(max(same) AS INTEGER) AS matched, max(same) / least(13, len(b.t)) AS similarity
+FROM c JOIN b USING (item_id) GROUP BY doc_id, item_id, b.t HAVING max(same) >= ceil(least(13, len(b.t)) * 0.8 - 1e-9)
+"""

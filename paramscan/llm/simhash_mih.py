@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +116,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
 
 
+def _grouped(docs: DataFrame, key: str, text: str, max_bits: int) -> DataFrame:
+    """``(key, fp, root, component_id)`` of each row; the root is the least fingerprint of its component."""
+    marked = checkpoint(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), out="fp").select("key", "fp"))
+    distinct = checkpoint(marked.groupBy("fp").agg(F.min("key").alias("least")))
+    linked = components(links(distinct.select("fp"), max_bits))
+    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(groups, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("key", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: ``key``, ``fingerprint`` (16 lowercase hex digits), ``component_id``.
 
@@ -124,34 +135,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     texts share fingerprint zero. A key that repeats with different texts
     belongs to each text's group on its own row. An empty table gives no rows.
     """
-    marked = checkpoint(with_fingerprint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), out="fp").select("key", "fp"))
-    distinct = checkpoint(marked.groupBy("fp").agg(F.min("key").alias("least")))
-    linked = components(links(distinct.select("fp"), max_bits))
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(groups, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = _grouped(docs, key, text, max_bits)
+    return grouped.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the least key.
 
-    Rows that share that key are ordered by all their columns' hash and the
-    first stays; rows whose key is null stay only where their group has no key
-    at all, again one of them.
+    Of several rows with that key in the group, the first by the hash of all
+    columns stays. A group whose keys are all null keeps one of its rows.
     """
-    found = checkpoint(near_duplicates(docs, key, text, max_bits).select(F.col(key).alias("__key"), F.col("component_id").alias("__group"), F.col("fingerprint").alias("__fp")))
-    unique = found.groupBy("__key").count().filter("count > 1 or __key is null").isEmpty()
-    if unique:
-        chosen = found.filter(F.col("__key") == F.col("__group")).select("__key")
-        return docs.join(chosen, docs[key] == chosen["__key"], "left_semi")
-    from pyspark.sql import Window
-
-    chosen = found.filter(F.col("__key").eqNullSafe(F.col("__group"))).select("__key", "__fp").distinct()
-    columns = docs.columns
-    marked = with_fingerprint(docs, text, "__print").withColumn("__print", F.lower(F.lpad(F.hex("__print"), 16, "0")))
-    near = marked.join(chosen, marked[key].eqNullSafe(chosen["__key"]) & (marked["__print"] == chosen["__fp"]), "left_semi")
-    order = Window.partitionBy(F.col(key), "__tie").orderBy(F.xxhash64(*[F.col(c) for c in columns]))
-    # a null key has no component_id, so its rows fall into groups by fingerprint
-    near = near.withColumn("__tie", F.when(F.col(key).isNull(), F.col("__print")))
-    return near.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(*columns)
+    found = checkpoint(_grouped(docs, key, text, max_bits).withColumnsRenamed({"key": "__key", "fp": "__fp", "root": "__root"}))
+    chosen = found.filter(F.col("__key").eqNullSafe(F.col("component_id"))).select("__key", "__fp", "__root")
+    if found.groupBy("__key").count().filter("count > 1 or __key is null").isEmpty():
+        return docs.join(chosen.select("__key"), docs[key] == chosen["__key"], "left_semi")
+    marked = with_fingerprint(docs, text, "__print")
+    near = marked.join(chosen.distinct(), marked[key].eqNullSafe(chosen["__key"]) & (marked["__print"] == chosen["__fp"]))
+    order = Window.partitionBy("__root").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
+    return near.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(*docs.columns)
