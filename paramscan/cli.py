@@ -9,7 +9,7 @@ import sys
 from . import build as building
 from .config import remote_url
 from .errors import ParamscanError
-from .operators.select import identified, outcome_summary, select_files
+from .operators.select import outcome_summary
 from .store import Dataset
 
 BULK = 100
@@ -44,6 +44,9 @@ def parser() -> argparse.ArgumentParser:
     clone.add_argument("target")
     down = sub.add_parser("download")
     down.add_argument("output")
+    down.add_argument("path_names", nargs="*", metavar="PATH")
+    down.add_argument("--tsv", action="append", default=[])
+    down.add_argument("--all", action="store_true")
     down.add_argument("--workers", type=int, default=4)
     down.add_argument("--remote")
     down.add_argument("--yes", action="store_true")
@@ -91,12 +94,11 @@ def run(args, spark, say=print) -> int:
     elif args.command == "add-worktree":
         say(data.add_worktree(args.branch).root)
     elif args.command == "download":
-        from pyspark.sql import functions as F
-
+        from .operators.gather import gather
         from .sources.remote import download
 
-        rows = data.entries_at(None).withColumn("ord", F.monotonically_increasing_id())
-        chosen = select_files(identified(rows))
+        everything = args.all or not (args.path_names or args.tsv)
+        chosen = gather(spark, data.root or data.store, data.config(), args.path_names, args.tsv, everything, data.data())
         count = chosen.count()
         if args.dry_run or count >= BULK and not args.yes:
             for r in chosen.limit(20).collect():

@@ -179,6 +179,16 @@ class Dataset:
             if file_digest(temp) != sha1.lower():
                 raise StoreError(f"object {sha1} is damaged")
 
+    def fetch_missing(self, origin: str, commit: str | None = None) -> int:
+        """Copy objects that a commit (or the staged manifest) needs from another store on this machine; how many."""
+        other = Dataset(self.spark, origin)
+        lost = diff.missing_objects(self.entries_at(commit), self.objects())
+        count = 0
+        for r in lost.join(other.objects(), "sha1", "left_semi").toLocalIterator():
+            self._keep(other._object(r.sha1), r.sha1)
+            count += 1
+        return count
+
     # --- adding and committing
 
     def set_config(self, fmt: str | None = None, encoding: dict | None = None, remote=None) -> None:
