@@ -32,8 +32,8 @@ def key_mod(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def stratified(df: DataFrame, key: str, by: str, rows: int, classes: int = 1000) -> DataFrame:
-    """About ``rows`` rows of each value of ``by``, chosen by the hash of ``key``: the same ones on every run.
+def stratified(df: DataFrame, key: str, by: str, rows: int | dict, classes: int = 1000) -> DataFrame:
+    """About ``rows`` rows (or those of a mapping) of each value of ``by``, chosen by the hash of ``key``: the same ones on every run.
 
     Values are counted first; one with fewer rows gives all of them. Null
     values give none. At most ``classes`` values, the most frequent ones, are
@@ -42,6 +42,6 @@ def stratified(df: DataFrame, key: str, by: str, rows: int, classes: int = 1000)
     counts = df.filter(F.col(by).isNotNull()).groupBy(by).count().orderBy(F.desc("count"), by).limit(classes).collect()
     share = F.lit(-1.0)
     for value, count in counts:
-        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, rows / count))).otherwise(share)
+        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, (rows[value] if isinstance(rows, dict) else rows) / count))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000)) / F.lit(1e6)
     return df.filter(drawn < share)

@@ -23,18 +23,18 @@ from pyspark.sql import types as T
 
 from .common import stratified
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 DIM = 8
 LENGTHS = (3, 4, 5)
 BLOCK = 1 << 20  # bytes of a text whose n-grams are hashed at once
-SAMPLE = 4000  # labelled rows of each class, about
+SAMPLE = {1: 3000, 0: 9000}  # labelled rows of each class, about
 SAMPLE_CHARS = 20_000  # longer texts are left out of the sample
 EPOCHS = 8
 STEPS = 600  # at least; a small sample is gone through more often
 BATCH = 64
-SMOOTH = 400  # n-grams without meaning that each mean includes, so that few n-grams give no certainty
+SMOOTH = 1500  # n-grams without meaning that each mean includes, so that few n-grams give no certainty
 RATE = 0.05
-DECAY = 0.05  # pull of embeddings to zero, against odds read from few rows
+DECAY = 0.15  # pull of embeddings to zero, against odds read from few rows
 SPREAD = 16.0  # of the embeddings' steps: larger is slower
 
 #: Letters to lower case, other ASCII to spaces; bytes of longer characters stay.
@@ -137,13 +137,13 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_i
     left out. The sample is broadcast to the texts, which are not shuffled;
     the bias is then set to the classes' shares among all labels.
     """
-    rows = labels.filter(learnable).filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
-    shares = dict(rows.filter("label is not null").groupBy((F.col("label") > 0).cast("int")).count().collect())
+    rows = labels.filter(learnable).filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("label"))
+    shares = dict(rows.filter("label is not null").groupBy("label").count().collect())
     rows = stratified(rows, "key", "label", SAMPLE, classes=2)
     texts = docs.select(F.col(key).alias("t_key"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    found = texts.join(F.broadcast(rows), F.col("key") == F.col("t_key")).select("key", "label", "text").limit(4 * SAMPLE)
+    found = texts.join(F.broadcast(rows), F.col("key") == F.col("t_key")).select("key", "label", "text").limit(2 * sum(SAMPLE.values()))
     got = sorted(map(tuple, found.collect()))
-    seen = [int(v > 0) for _, v, _ in got]
+    seen = [v for _, v, _ in got]
     model = train([t for _, _, t in got], seen)
     if 0 < sum(seen) < len(seen):  # the classes' shares among all labels, not in the sample
         model.bias += float(np.log(shares[1] / shares[0]) - np.log(sum(seen) / (len(seen) - sum(seen))))
