@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .span_sql import spans_query
+
 BLOCK = 64  # matches whose lengths are summed at once
 CONTEXT = 40  # characters before a match that are searched for context words
 KEEP = 0.5  # least score of a span of the added kinds
@@ -179,3 +181,30 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: tupl
     counts = [_of_rank(rank).alias(f"n_{kind.name}") for rank, kind in enumerate(kinds)]
     base = _joined(F.filter("pii", lambda x: x["rank"] < BASE))
     return found.select(F.col("key").alias(key), *counts, F.sha2(base, 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), F.array_max(F.transform("pii", lambda x: x["score"])).alias("top_score"))
+
+
+def _oracle() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn_sum = (
+        f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({digits}, length({digits}) - i + 1, 1) AS INTEGER)"
+        f" ELSE (2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INTEGER)) // 10 + (2 * CAST(substr({digits}, length({digits}) - i + 1, 1) AS INTEGER)) % 10 END))"
+    )
+    plain = "regexp_replace(m, '[ -]', '', 'g')"
+    moved = f"(substr({plain}, 5) || substr({plain}, 1, 4))"
+    numbers = f"list_reduce(list_prepend(0, list_transform(string_split({moved}, ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, x: CASE WHEN x > 9 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END)"
+    octets = "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || left(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0"
+    score = {k.name: f"least(1.0, {k.score} + CASE WHEN regexp_matches(lower(right(p, {CONTEXT})), '\\b(?:{k.context})') THEN 0.3 ELSE 0.0 END)" for k in KINDS}
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", octets),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn_sum} % 10 = 0"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", f"{numbers} = 1 AND {score['iban']} >= {KEEP}"),
+        ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", f"{score['ssn']} >= {KEEP}"),
+    ]
+    typed = lambda s: f"CAST({s} AS DOUBLE)"
+    return spans_query([(*k, typed(score[k[0]])) for k in kinds], BASE, "max(score) AS top_score")
+
+
+#: DuckDB SQL for ``report`` over ``documents`` with the default kinds. The base kinds' regexes are written plainly here.
+ORACLE = _oracle()

@@ -67,4 +67,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_media, op2_quality, op3_mix_sources, op4_toxicity, op5_language, op6_secret_scan, op7_pii, op8_decontaminate, op9_token_counts, op10_simhash)
 }
-ORACLE_SQL = {"op3_mix_sources": wfq_mix.ORACLE, "op8_decontaminate": decontaminate.ORACLE}
+ORACLE_SQL = {"op3_mix_sources": wfq_mix.ORACLE, "op6_secret_scan": secret_dfa.ORACLE, "op7_pii": pii.ORACLE, "op8_decontaminate": decontaminate.ORACLE}

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .span_sql import spans_query
+
 
 
 @dataclass(frozen=True)
@@ -396,3 +398,24 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tupl
         return pd.DataFrame(out, columns=[*(f"n_{k}" for k in kinds), "base_sha256", "spans"])
 
     return docs.select(F.col(key).alias("key"), summed(F.col(text)).alias("r")).select(F.col("key").alias(key), "r.*")
+
+
+def _oracle() -> str:
+    fold = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(fold(w) for w in ("password", "passwd", "secret", "token")) + f"|{fold('api')}_?{fold('key')}"
+    assign = f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?[A-Za-z0-9+/_.=-]+"
+    group = f"^({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)$"
+    kinds = [
+        ("assign", assign, f"length(regexp_extract(m, '{group}', 2)) >= 6"),
+        ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+        ("hex", "[0-9a-f]{24,}", "true"),
+        ("private_key", "-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----", "true"),
+        ("github", "gh[opsur]_[A-Za-z0-9]+", "length(m) >= 40"),
+        ("slack", "xox[abprs]-[A-Za-z0-9-]+", "length(m) >= 15"),
+        ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "true"),
+    ]
+    return spans_query([(*k, "0") for k in kinds], BASE)
+
+
+#: DuckDB SQL for ``report`` over ``documents`` with the default rules.
+ORACLE = _oracle()
