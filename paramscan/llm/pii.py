@@ -92,7 +92,7 @@ class Kind:
 
 #: The first four are the base kinds: confirmed matches stay whatever their score.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.7, "mail|contact|write to", "@"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.7, "e?-?mail|contact|write to", "@"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _octets, 0.5, "ip|host|server|address|login", "."),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,}+", _card, 0.7, "card|visa|master|credit|debit|payment"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", _long(9, 15), 0.5, "phone|tel|call|mobile|fax|contact", "+"),
@@ -197,7 +197,7 @@ def _oracle() -> str:
     kinds = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", octets),
-        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 12 AND 19 AND {luhn_sum} % 10 = 0"),
+        ("card", r"[0-9](?:[\x20-]?[0-9]){11,}", f"length({digits}) BETWEEN 12 AND 19 AND {luhn_sum} % 10 = 0"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
         ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", f"{numbers} = 1 AND {score['iban']} >= {KEEP}"),
         ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", f"{score['ssn']} >= {KEEP}"),

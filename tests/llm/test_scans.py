@@ -174,3 +174,20 @@ def test_token_counts_equal_plain_dynamic_programming(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "NODES", 10)
     monkeypatch.setattr(token_counts, "COUNTS", 3)
     assert all(small[w] == slow_tokens(w, vocabulary) for w in ["hello", "help", "helped", "wonder", "wonderful", "hello"])
+
+
+@pytest.mark.parametrize("module", [secret_dfa, pii])
+def test_reports_equal_sql(spark, tmp_path, module):
+    import duckdb
+
+    rng = random.Random(9)
+    parts = ["a@b.co", "1.2.3.4", ".", "-", " ", "+", "+49 (30) 123-456", "4111 1111 1111 1111", "12", "7", "0", "email ", "card: ", "\n", "iban DE89 3704 0044 0532 0130 00 ", " ssn 123-45-6789 "]
+    texts = [None, "", *(t.replace("é", "e") for t in secret_texts(150)), *["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(150)]]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    found = db.execute(module.ORACLE)
+    names = [d[0] for d in found.description]
+    got = [tuple(r) for r in module.report(spark.read.parquet(path)).select(*names).collect()]
+    assert sorted(got, key=repr) == sorted(found.fetchall(), key=repr)
