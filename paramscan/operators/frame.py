@@ -48,10 +48,8 @@ class ParamFrame:
         if encoding and chosen is None:
             raise ValueError(f"no encoding for format {fmt!r}")
         listing = FormatSpec.compile(fmt)
-        files = inventory(spark, root, listing.listing_regex(**known).replace("(?s)", "(?s:", 1) + ")" if known else None)
-        paths = files.select("path").filter(F.col("path").rlike(listing.listing_regex(**known)))
-        decoder = chosen["fmt"] if chosen else fmt
-        frame = decoded(paths, decoder, (chosen or {}).get("encoding"))
+        files = inventory(spark, root, listing.listing_regex(**known))
+        frame = decoded(files.select("path"), chosen["fmt"] if chosen else fmt, (chosen or {}).get("encoding"))
         return cls(frame.orderBy("path"), encodings or [], root)
 
     def filter(self, **wanted) -> ParamFrame:

@@ -50,7 +50,9 @@ def upsert(state: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame
 
 def numbered(rows: DataFrame, order: str = "path", seq: str = "seq") -> DataFrame:
     """Add ``seq``, 1 and up in the order of ``order``. Ranges are numbered apart and then shifted, so no task sees all rows."""
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    # a fixed number, so that adaptive execution keeps the ranges alike wherever they are read
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(ranges, F.col(order)).withColumn("_part", F.spark_partition_id())
     ranged = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     counts = ranged.groupBy("_part").agg(F.max("_at").alias("_n"))
     shifts = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_shift"))
