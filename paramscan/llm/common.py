@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import checkpoint as checkpoint  # cut in the shared folder of spark.checkpoint.dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables below ``sf_dir``, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there.
-
-    The folder is the session's ``spark.checkpoint.dir``. A temporary one is
-    set only where the session names none, as in local tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paramscan-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def key_mod(key: Column, modulus: int) -> Column:
     """crc32 of a key's decimal text modulo ``modulus``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
