@@ -50,12 +50,12 @@ def _seeds(df: DataFrame, *carried: str) -> DataFrame:
     return rows.withColumn("_at", at).select(*carried, "h", F.col("_at").alias("at"), seed.alias("seed")).filter("seed is not null")
 
 
-def _best(doc: Column, item: Column, shift: Column, at: Column) -> Column:
-    """The most equal words in a window of the item that holds word ``at`` of it, aligned at ``at + shift``; and the window's start."""
+def _best(doc: Column, item: Column, shift: Column, first: Column, last: Column) -> Column:
+    """The most equal words in a window of the item around its words ``first`` to ``last``, aligned at ``shift`` more; and the window's start."""
     n = F.size(item)
     length = F.least(n, F.lit(WINDOW))
-    low = F.greatest(F.lit(0), at - WINDOW + SHORTEST)
-    high = F.least(n, at + WINDOW)
+    low = F.greatest(F.lit(0), first - WINDOW + SHORTEST)
+    high = F.least(n, last + WINDOW)
 
     def windows(equal: Column) -> Column:
         def score(s: Column) -> Column:
@@ -87,16 +87,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), word_hashes(F.col(text)).alias("h"))
     if few:
         hits = _seeds(rows, "key", "th").join(held(seeds), F.col("seed") == F.col("s_seed"))
-        hits = hits.join(held(words), F.col("s_ikey") == F.col("ikey")).withColumn("shift", F.col("at") - F.col("iat"))
+        hits = hits.join(held(words), F.col("s_ikey") == F.col("ikey")).withColumns({"shift": F.col("at") - F.col("iat"), "last": F.col("iat")})
     else:
         found = _seeds(rows, "key", "th").select("key", "th", "at", "seed").join(seeds, F.col("seed") == F.col("s_seed"))
         found = found.select(F.col("key").alias("f_key"), F.col("th").alias("f_th"), "s_ikey", "iat", (F.col("at") - F.col("iat")).alias("shift"))
-        found = found.groupBy("f_key", "f_th", "s_ikey", "shift", F.floor(F.col("iat") / SHORTEST)).agg(F.min("iat").alias("iat"))
+        found = found.groupBy("f_key", "f_th", "s_ikey", "shift", F.floor(F.col("iat") / SHORTEST)).agg(F.min("iat").alias("iat"), F.max("iat").alias("last"))
         texts = rows.dropDuplicates(["key", "th"])
         hits = found.join(texts, F.col("f_key").eqNullSafe(F.col("key")) & (F.col("f_th") == F.col("th")))
         hits = hits.join(words, F.col("s_ikey") == F.col("ikey"))
     least = F.ceil(F.least(F.size("ih"), F.lit(WINDOW)) * SIMILARITY - 1e-9)
-    scored = hits.select("key", "th", "ikey", "shift", F.least(F.size("ih"), F.lit(WINDOW)).alias("window"), least.alias("least"), _best(F.col("h"), F.col("ih"), F.col("shift"), F.col("iat")).alias("best"))
+    scored = hits.select("key", "th", "ikey", "shift", F.least(F.size("ih"), F.lit(WINDOW)).alias("window"), least.alias("least"), _best(F.col("h"), F.col("ih"), F.col("shift"), F.col("iat"), F.col("last")).alias("best"))
     good = scored.filter(F.col("best.same") >= F.col("least"))
     # most equal words, then the earliest place, in one number
     code = F.shiftleft(F.col("best.same").cast("long"), 32) + F.lit((1 << 31) - 1) + F.col("best.start") - F.col("shift")

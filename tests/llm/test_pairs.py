@@ -128,6 +128,20 @@ def test_decontamination(spark):
     assert decontaminate.report(df.limit(0), bench).count() == 0 and decontaminate.clean(df, bench.limit(0)).count() == len(docs)
 
 
+def test_merged_hits_keep_their_windows(spark):
+    words = [f"q{i}" for i in range(30)]
+    equal = {10, 11, 13, 14, 15, 16, 17, 19, 20, 21, 23, 24, 25}
+    rng = random.Random(4)
+    docs = [(0, " ".join(w if i in equal else "zz" for i, w in enumerate(words)))]
+    docs += [(k, " ".join(w if rng.random() < 0.75 else "zz" for w in words)) for k in range(1, 200)]
+    items = [(0, " ".join(words))]
+    want = slow_overlaps(docs, items)
+    assert want[0, 0] == 11 and len(want) < len(docs)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (10**6, 0):
+        assert {(r.doc_id, r.item_id): r.matched for r in decontaminate.report(df, bench, broadcast_words=limit).collect()} == want
+
+
 def test_masks_meet_every_similar_window():
     from itertools import combinations
 
