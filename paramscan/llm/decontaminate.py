@@ -1,11 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks of five kept word positions hash every place of a document and of
-a benchmark item; masks that skip positions still meet where words were
+Fixed masks of kept word positions hash every place of a document and of a
+benchmark item; masks that skip positions still meet where words were
 substituted. A meeting proposes a diagonal, and around it windows of 13 words
 are compared word by word: one with a similarity of 0.8 or more confirms the
 overlap. The two masks together meet in every 13-word window with at most two
-substitutions, which is every window of that similarity.
+substitutions, which is every window of that similarity. Items of 5 to 12
+words have shorter masks by length, which do the same for whole items.
+Documents are hashed by these only if the benchmark has such items.
 
 Only DataFrame operations are used. Scale: the benchmark's table of seeds is
 broadcast while its words are counted to be few enough, so that documents are
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .pii import let
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 7))
+#: Masks of shorter items, and the numbers of words for which they are needed.
+SHORT_MASKS = {(0, 1, 2, 3): tuple(range(5, 13)), (0, 1, 4, 5): (6, 7, 10, 11), (0, 1, 4): (5,), (0, 3, 4): (5,)}
 WINDOW = 13
 SIMILARITY = 0.8
 SHORTEST = 5  # words; shorter items are too common to be evidence
@@ -36,18 +40,26 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, *carried: str) -> DataFrame:
-    """Rows ``(carried, at, seed)``: for each word place and mask that fits there."""
+def _seeds(df: DataFrame, masks: tuple, items: bool, *carried: str) -> DataFrame:
+    """Rows ``(carried, at, seed)``: for each word place and mask that fits there; of items, only the masks for their number of words.
+
+    Masks are looked up by number, so that the generated code stays small enough to be compiled, however many there are.
+    """
     n = F.size("h")
-    count = len(MASKS)
-    places = F.when(n >= SHORTEST, F.sequence(F.lit(0), (n - SHORTEST + 1) * count - 1))
+    count = len(masks)
+    span = min(mask[-1] for mask in masks) + 1
+    places = F.when(n >= span, F.sequence(F.lit(0), (n - span + 1) * count - 1))
     rows = df.select(*carried, "h", F.explode(places).alias("_i"))
-    at = F.expr(f"_i div {count}").cast("int")
-    seed = F.lit(None).cast("long")
-    for number, mask in enumerate(MASKS):
-        value = F.xxhash64(F.lit(number), *[F.get("h", F.col("_at") + F.lit(m)) for m in mask])
-        seed = F.when((F.col("_i") % count == number) & (F.col("_at") + mask[-1] < F.size("h")), value).otherwise(seed)
-    return rows.withColumn("_at", at).select(*carried, "h", F.col("_at").alias("at"), seed.alias("seed")).filter("seed is not null")
+    rows = rows.withColumns({"_at": F.expr(f"_i div {count}").cast("int"), "_mask": F.col("_i") % count})
+    of_mask = lambda values: F.get(F.lit(values), F.col("_mask"))
+    rows = rows.filter(F.col("_at") + of_mask([mask[-1] for mask in masks]) < n)
+    if items:
+        lengths = F.array(*[F.lit(list(SHORT_MASKS.get(mask, (WINDOW,)))) for mask in masks])
+        rows = rows.filter(F.array_contains(F.get(lengths, F.col("_mask")), F.least(n, F.lit(WINDOW))))
+    # a place before the text is null, which a hash passes over
+    kept = [of_mask([mask[k] if k < len(mask) else -(1 << 30) for mask in masks]) for k in range(SHORTEST)]
+    seed = F.xxhash64("_mask", *[F.get("h", F.col("_at") + place) for place in kept])
+    return rows.select(*carried, "h", F.col("_at").alias("at"), seed.alias("seed"))
 
 
 def _best(doc: Column, item: Column, shift: Column, first: Column, last: Column) -> Column:
@@ -80,16 +92,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     items = benchmark.select(F.col(item).alias("item"), word_hashes(F.col(item_text)).alias("h")).filter(F.size("h") >= SHORTEST)
     items = items.withColumn("ikey", F.xxhash64("h"))
     unique = items.groupBy("ikey").agg(F.first("h").alias("h"))
-    few = (items.agg(F.sum(F.size("h"))).first()[0] or 0) <= broadcast_words
+    total, short = items.agg(F.sum(F.size("h")), F.collect_set(F.when(F.size("h") < WINDOW, F.size("h")))).first()
+    masks = MASKS + tuple(mask for mask, lengths in SHORT_MASKS.items() if set(lengths) & set(short))
+    few = (total or 0) <= broadcast_words
     held = F.broadcast if few else lambda df: df
-    seeds = _seeds(unique, "ikey").select(F.col("ikey").alias("s_ikey"), F.col("at").alias("iat"), F.col("seed").alias("s_seed"))
+    seeds = _seeds(unique, masks, True, "ikey").select(F.col("ikey").alias("s_ikey"), F.col("at").alias("iat"), F.col("seed").alias("s_seed"))
     words = unique.select("ikey", F.col("h").alias("ih"))
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), word_hashes(F.col(text)).alias("h"))
     if few:
-        hits = _seeds(rows, "key", "th").join(held(seeds), F.col("seed") == F.col("s_seed"))
+        hits = _seeds(rows, masks, False, "key", "th").join(held(seeds), F.col("seed") == F.col("s_seed"))
         hits = hits.join(held(words), F.col("s_ikey") == F.col("ikey")).withColumns({"shift": F.col("at") - F.col("iat"), "last": F.col("iat")})
     else:
-        found = _seeds(rows, "key", "th").select("key", "th", "at", "seed").join(seeds, F.col("seed") == F.col("s_seed"))
+        found = _seeds(rows, masks, False, "key", "th").select("key", "th", "at", "seed").join(seeds, F.col("seed") == F.col("s_seed"))
         found = found.select(F.col("key").alias("f_key"), F.col("th").alias("f_th"), "s_ikey", "iat", (F.col("at") - F.col("iat")).alias("shift"))
         found = found.groupBy("f_key", "f_th", "s_ikey", "shift", F.floor(F.col("iat") / SHORTEST)).agg(F.min("iat").alias("iat"), F.max("iat").alias("last"))
         texts = rows.dropDuplicates(["key", "th"])
@@ -122,7 +136,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 assert all(len(mask) == SHORTEST for mask in MASKS) and math.ceil(WINDOW * SIMILARITY) == WINDOW - 2
 
-#: DuckDB SQL for ``report`` over ``documents`` and ``benchmark``, whose items have 13 words or more: all equal words, then windows on each diagonal.
+#: DuckDB SQL for ``report`` over ``documents`` and ``benchmark``: all equal words, then windows on each diagonal.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents),

@@ -149,6 +149,32 @@ def test_masks_meet_every_similar_window():
         assert any(all(at + m not in gone for m in mask) for mask in decontaminate.MASKS for at in range(13 - mask[-1]))
 
 
+def test_short_items_meet_every_substitution():
+    from itertools import combinations
+
+    for n in range(5, 13):
+        masks = [mask for mask, lengths in decontaminate.SHORT_MASKS.items() if n in lengths]
+        for gone in combinations(range(n), n - -(-8 * n // 10)):
+            assert any(all(at + m not in gone for m in mask) for mask in masks for at in range(n - mask[-1]))
+
+
+def test_short_items_with_substitutions(spark):
+    from itertools import combinations
+
+    items = [(n, " ".join(f"s{n}x{i}" for i in range(n))) for n in range(5, 15)]
+    texts = []
+    for n, t in items:
+        for gone in combinations(range(n), max(1, n - -(-8 * n // 10))):
+            texts.append(" ".join(["some"] + ["zz" if i in gone else w for i, w in enumerate(t.split())] + ["more"]))
+        texts += [t, " ".join(t.split()[1:]), " ".join(t.split()[:-1]), "zz " + " ".join(t.split()[3:])]
+    docs = list(enumerate(texts))
+    want = slow_overlaps(docs, items)
+    assert {j for _, j in want} == {n for n, _ in items}
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (10**6, 0):
+        assert {(r.doc_id, r.item_id): r.matched for r in decontaminate.report(df, bench, broadcast_words=limit).collect()} == want
+
+
 def test_mix_equals_sql(spark, tmp_path):
     rng = random.Random(3)
     texts = list(ODD) + [" ".join("w" for _ in range(rng.randrange(1, 400))) for _ in range(120)]
