@@ -7,7 +7,10 @@ in numpy on a bounded sample of labelled rows, on the driver. A misspelling
 never seen shares most of its n-grams with the word.
 
 Because the mean and the softmax are both linear, scoring needs one number a
-bucket: the margin of the two classes. Texts are scored whole where they lie,
+bucket: the margin of the two classes. A few words in a long text hardly move
+its mean, so the mean is also taken of each short passage, and the highest of
+them is pooled with that of the whole text; the two weights are learned from
+a part of the sample kept aside for that. Texts are scored whole where they lie,
 in blocks of bounded size; nothing is shuffled.
 """
 
@@ -28,7 +31,11 @@ DIM = 8
 LENGTHS = (3, 4, 5)
 BLOCK = 1 << 20  # bytes of a text whose n-grams are hashed at once
 SAMPLE = {1: 2500, 0: 6500}  # labelled rows of each class, about
-SAMPLE_CHARS = 20_000  # longer texts are left out of the sample
+SAMPLE_CHARS = 20_000  # longer texts of the sample are sent to the driver as counts of their buckets
+ASIDE = 5  # one labelled row in so many weighs the two means
+ASIDE_ROWS = 8  # of each class, at least; with fewer the text's mean alone counts
+CELL = 16  # bytes; a passage is two cells, and each cell is in two passages
+PASSAGE_SMOOTH = 100  # as SMOOTH, for passages
 EPOCHS = 8
 STEPS = 600  # at least; a small sample is gone through more often
 BATCH = 64
@@ -41,8 +48,8 @@ SPREAD = 16.0  # of the embeddings' steps: larger is slower
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32 for b in range(256))
 
 
-def blocks(text: str | None):
-    """Arrays of the bucket numbers of all n-grams of ``text``; an n-gram holds spaces at its ends only."""
+def placed(text: str | None):
+    """Arrays of the bucket numbers of all n-grams of ``text``, and of their places in the block; an n-gram holds spaces at its ends only."""
     data = b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()) + b" "
     most = max(LENGTHS)
     for at in range(0, max(1, len(data) - 2), BLOCK):
@@ -50,7 +57,7 @@ def blocks(text: str | None):
         space = piece == 32
         value = piece.astype(np.uint32) + np.uint32(1)
         rolled, inner = value, np.zeros(len(piece), bool)
-        found = []
+        found, places = [], []
         for n in range(2, most + 1):
             count = len(piece) - n + 1
             if count <= 0:
@@ -62,37 +69,85 @@ def blocks(text: str | None):
                 inner = inner[:count]
             if n in LENGTHS:
                 here = min(count, BLOCK)
-                keys = rolled[:here][~inner[:here]] * np.uint32(0x9E3779B1)
+                places.append(np.flatnonzero(~inner[:here]))
+                keys = rolled[places[-1]] * np.uint32(0x9E3779B1)
                 found.append(((keys >> np.uint32(7)) ^ (keys >> np.uint32(19))) & np.uint32(BUCKETS - 1))
-        yield np.concatenate(found) if found else np.zeros(0, np.uint32)
+        yield (np.concatenate(found), np.concatenate(places)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+
+def blocks(text: str | None):
+    """The bucket numbers of ``placed`` alone."""
+    return (keys for keys, _ in placed(text))
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and the shares of its n-grams in them; at most ``BUCKETS`` whatever the text's length."""
+    at, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    for keys in blocks(text):
+        at, place = np.unique(np.concatenate([at, keys]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n, np.ones(len(keys))]), len(at))
+    return at.astype(np.uint32), (n / (n.sum() + SMOOTH)).astype(np.float32)
 
 
 @dataclass
 class Model:
-    """``margin`` of each bucket and ``bias``; both classes' scores differ by their mean and sum."""
+    """``margin`` of each bucket; both classes' scores differ by ``bias`` and, weighted, the margins' mean over the text and the highest over a passage."""
 
     margin: np.ndarray
     bias: float
+    mean: float = 1.0
+    peak: float = 0.0
+
+    def means(self, text: str | None) -> tuple[float, float]:
+        """The mean of the text and the highest of its passages."""
+        total, count, peak = 0.0, 0, -np.inf
+        last = np.zeros((2, 1))  # the cell before the block
+        for keys, places in placed(text):
+            if len(keys) == 0:
+                last = np.zeros((2, 1))
+                continue
+            cells = places // CELL
+            both = np.concatenate([last, [np.bincount(cells, self.margin[keys]), np.bincount(cells)]], axis=1)
+            total += float(both[0, 1:].sum())
+            count += len(keys)
+            passages = both[:, 1:] + both[:, :-1]
+            peak = max(peak, float((passages[0] / (passages[1] + PASSAGE_SMOOTH)).max()))
+            last = both[:, -1:] if both.shape[1] > BLOCK // CELL else np.zeros((2, 1))
+        return total / (count + SMOOTH), peak if count else 0.0
 
     def score(self, text: str | None) -> float:
-        total, count = 0.0, 0
-        for keys in blocks(text):
-            total += float(self.margin[keys].sum(dtype=np.float64))
-            count += len(keys)
-        z = self.bias + total / (count + SMOOTH)
+        mean, peak = self.means(text)
+        z = self.bias + self.mean * mean + self.peak * peak
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
+    def weighed(self, means: list, labels: list[int]) -> Model:
+        """This model with bias and weights of the two means fitted by Newton's method to texts it has not seen; itself if they are too few."""
+        y = np.asarray(labels, float)
+        if min(y.sum(), (1 - y).sum()) < ASIDE_ROWS or not self.margin.any():
+            return self
+        x = np.asarray(means, float)
+        middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        x = np.column_stack([(x - middle) / spread, np.ones(len(x))])
+        pull, w = np.array([0.01, 0.01, 0.01]), np.zeros(3)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
+            w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(pull), x.T @ (p - y) + pull * w)
+        mean, peak = w[:2] / spread
+        return Model(self.margin, float(w[2] - middle @ (mean, peak)), float(mean), float(peak))
+
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """A model of texts in memory; one text in ``ASIDE`` weighs the two means."""
+    aside = np.random.default_rng(seed).permutation(len(texts)) % ASIDE == 1
+    model = learn([bag(t) for t, a in zip(texts, aside) if not a], [v for v, a in zip(labels, aside) if not a], epochs, seed)
+    return model.weighed([model.means(t) for t, a in zip(texts, aside) if a], [v for v, a in zip(labels, aside) if a])
+
+
+def learn(bags: list, labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Joint training by Adam on log loss. With one class only, or no rows, scores are constant."""
     y = np.asarray(labels, int)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
-    bags = []
-    for text in texts:
-        keys = np.concatenate(list(blocks(text)))
-        at, n = np.unique(keys, return_counts=True)
-        bags.append((at, (n / (len(keys) + SMOOTH)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     prior = y.mean()
     weights = {"e": rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), "w": rng.normal(0, 0.05, (DIM, 2)).astype(np.float32), "b": np.log(np.array([1 - prior, prior], np.float32))}
@@ -133,23 +188,50 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train on a bounded sample of the rows of ``labels`` that ``learnable`` (over the key) admits.
 
-    Rows without a label, key or text, and texts over ``SAMPLE_CHARS``, are
-    left out. The sample is broadcast to the texts, which are not shuffled.
+    Rows without a label, key or text are left out, long texts are not: those
+    over ``SAMPLE_CHARS`` are counted where they lie and take the driver no more
+    than a number a bucket. The sample is broadcast to the texts, which are not shuffled.
     The bias stays that of the sample, in which toxic rows are more frequent:
     fewer of them are missed, and hardly more clean ones flagged.
     """
     rows = labels.filter(learnable).filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("label"))
     rows = stratified(rows, "key", "label", SAMPLE, classes=2)
-    texts = docs.select(F.col(key).alias("t_key"), F.col(text).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    found = texts.join(F.broadcast(rows), F.col("key") == F.col("t_key")).select("key", "label", "text").limit(2 * sum(SAMPLE.values()))
-    got = sorted(map(tuple, found.collect()))
-    seen = [v for _, v, _ in got]
-    return train([t for _, _, t in got], seen)
+    texts = docs.select(F.col(key).alias("t_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(rows), F.col("key") == F.col("t_key")).select("key", "label", "text")
+    aside = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("aside")), F.lit(ASIDE)) == 0
+    most = 2 * sum(SAMPLE.values())
+
+    @F.pandas_udf(T.BinaryType())
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else b"".join(part.tobytes() for part in bag(t)) for t in texts], dtype=object)
+
+    def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        half = len(data) // 2
+        return np.frombuffer(data, np.uint32, half // 4), np.frombuffer(data, np.float32, half // 4, half)
+
+    long = F.length("text") > SAMPLE_CHARS
+    sent = found.filter(~aside).limit(most).select("key", "label", F.when(~long, F.col("text")).alias("text"), counted(F.when(long, F.col("text"))).alias("bag"))
+    got = sorted(map(tuple, sent.collect()), key=lambda r: (r[0], r[1], r[2] or "", r[3] or b""))
+    model = learn([unpacked(data) if text is None else bag(text) for _, _, text, data in got], [v for _, v, _, _ in got])
+    got = found.filter(aside).limit(most).select("key", "label", _means(docs.sparkSession, model)("text").alias("m")).collect()
+    got = sorted((key, v, m.mean, m.peak) for key, v, m in got)
+    return model.weighed([(mean, peak) for _, _, mean, peak in got], [v for _, v, _, _ in got])
+
+
+def _means(spark, model: Model):
+    sent = spark.sparkContext.broadcast((model.margin, model.bias))
+
+    @F.pandas_udf("mean double, peak double")
+    def means(texts: pd.Series) -> pd.DataFrame:
+        own = Model(*sent.value)
+        return pd.DataFrame([own.means(t) for t in texts], columns=["mean", "peak"], dtype="float64")
+
+    return means
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
     """Add ``out``, 0 to 1. Null, empty and blank texts get the score of the bias alone."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias, model.mean, model.peak))
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:

@@ -34,6 +34,24 @@ def test_toxicity_sees_misspellings():
     assert toxicity_subword.train([], []).score("x") == 0.5 and toxicity_subword.train(["a"], [1]).score("b") > 0.5
 
 
+def test_toxicity_in_long_texts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(SYLLABLES["aa"]) for _ in range(3))
+    rows = []
+    for i in range(400):
+        words = [word() for _ in range(rng.randrange(20, 200) if i % 8 > 1 else 5000)]
+        for _ in range(3 if i % 2 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["horrible", "disgusting"]))
+        rows.append((i, " ".join(words), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert min(len(t) for i, t, _ in rows if i % 8 < 2) > toxicity_subword.SAMPLE_CHARS
+    model = toxicity_subword.fit(df, df, df.doc_id < 300)
+    right = [(model.score(t) >= 0.5) == bool(v) for i, t, v in rows if i >= 300 and i % 8 < 2]
+    assert len(right) >= 24 and np.mean(right) > 0.9
+    only = toxicity_subword.fit(df, df, (df.doc_id < 300) & (df.doc_id % 8 < 2))  # long texts are learned from
+    assert only.margin.any()
+
+
 def test_blocks_cover_every_ngram(monkeypatch):
     text = "Ab cde! fghij—k " * 40
     whole = sorted(np.concatenate(list(toxicity_subword.blocks(text))).tolist())
