@@ -1,6 +1,7 @@
 """Secrets, personal data, media and token counts against plain forms."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -159,21 +160,40 @@ def slow_tokens(word, vocabulary):
     return best[-1][1]
 
 
-def test_token_counts_equal_plain_dynamic_programming(spark, monkeypatch):
+def test_token_counts_equal_plain_dynamic_programming(spark):
     import regex
 
     vocabulary = token_counts.read_vocabulary()
-    texts = [None, "", " ", "Hello world's don't 12345 éàü 😀!!  \n x", "a" * 300, "internationalisation " * 5, "internationalise interna"]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, tokens int")
-    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.report(df).collect()}
+    texts = [None, "", " ", "Hello world's don't 12345 éàü 😀!!  \n x", "a" * 300, "internationalisation " * 5, "internationalise interna", "Hello world's don't 12345 éàü 😀!!  \n x"]
+    df = spark.createDataFrame([(i % 7, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, tokens int")
+    got = sorted((r.doc_id, r.n_pretokens, r.n_tokens) for r in token_counts.report(df).collect())
+    want = []
     for i, t in enumerate(texts):
         words = regex.findall(token_counts.PATTERN, t or "")
         assert "".join(words) == (t or "")
-        assert got[i] == (len(words), sum(slow_tokens(w, vocabulary) for w in words))
-    small = token_counts.Counter(vocabulary)
-    monkeypatch.setattr(token_counts, "NODES", 10)
-    monkeypatch.setattr(token_counts, "COUNTS", 3)
-    assert all(small[w] == slow_tokens(w, vocabulary) for w in ["hello", "help", "helped", "wonder", "wonderful", "hello"])
+        want.append((i % 7, len(words), sum(slow_tokens(w, vocabulary) for w in words)))
+    assert got == sorted(want)
+    assert token_counts.report(df.limit(0)).count() == 0
+    kept = token_counts.with_token_counts(df)
+    assert kept.columns == df.columns and kept.schema["tokens"].dataType == token_counts.RESULT  # ``out`` replaces a column of its name
+
+
+def test_token_counts_share_prefixes(monkeypatch):
+    import regex
+
+    rng = random.Random(4)
+    vocabulary = {piece.encode(): -math.log(n + 1) for n, piece in enumerate("a b c ab bc abc ca cab aaaa bbbbbbb cc".split())}
+    words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(300)}
+    long = "".join(rng.choice("abc") for _ in range(200))
+    words |= {long[:k] + tail for k in range(0, 200, 7) for tail in ("", "a", "bbbbbbb", "cab")}
+    words |= {"dab", "abd", "d"}  # a byte of no piece
+    texts = [None, "", *(" ".join(sorted(words, key=lambda w: rng.random())) for _ in range(3)), *words]
+    pattern = regex.compile(r"\w+")
+    want = [(len(pattern.findall(t or "")), sum(slow_tokens(w, vocabulary) for w in pattern.findall(t or ""))) for t in texts]
+    for near, kept, batch, piece in ((64, 10**6, 10**6, 10**6), (1, 5, 30, 7), (5, 50, 300, 20)):
+        for name, value in (("NEAR", near), ("KEPT", kept), ("BATCH", batch), ("SLICE", piece)):
+            monkeypatch.setattr(token_counts, name, value)
+        assert token_counts.Counter(vocabulary).count(texts, pattern) == want
 
 
 @pytest.mark.parametrize("module", [secret_dfa, pii])
