@@ -14,7 +14,9 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -38,93 +40,227 @@ class Found:
 # --- validators: the end of valid media at ``at``, or -1
 
 
-def _png(b: bytes, at: int) -> int:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        size, kind = struct.unpack_from(">I4s", b, p)
-        end = p + 12 + size
-        if end > len(b) or first and (kind, size) != (b"IHDR", 13) or zlib.crc32(b[p + 4 : end - 4]) != struct.unpack_from(">I", b, end - 4)[0]:
-            return -1
-        if kind == b"IEND":
-            return end
-        p, first = end, False
-    return -1
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    p, seen = at + 2, False
-    while p + 4 <= len(b) and b[p] == 0xFF:
-        marker = b[p + 1]
-        if marker == 0xFF:
-            p += 1
-            continue
-        if marker == 0x01 or 0xD0 <= marker <= 0xD8:
-            return -1
-        if marker == 0xD9:
-            return p + 2 if seen else -1
-        size = struct.unpack_from(">H", b, p + 2)[0]
-        if size < 2:
-            return -1
-        p += 2 + size
-        if marker == 0xDA:  # entropy-coded data up to the next real marker
-            seen = True
-            while True:
-                p = b.find(b"\xff", p)
-                if p < 0 or p + 1 >= len(b):
-                    return -1
-                if b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7:
-                    p += 2
-                    continue
-                break
-            if b[p + 1] == 0xD9:
-                return p + 2
-    return -1
+CRC_POLYNOMIAL = 0xEDB88320  # fixed value: of the CRC-32 of zlib, bits in reverse
+CRC_STEP = 1 << 16
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials over bits, modulo the CRC's; the highest bit is 1."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = b >> 1 ^ CRC_POLYNOMIAL if b & 1 else b >> 1
+    return out
+
+
+def _power(bits: int) -> int:
+    """The polynomial x to the power of ``bits``."""
+    out, square = 1 << 31, 1 << 30
+    while bits:
+        if bits & 1:
+            out = _times(out, square)
+        square, bits = _times(square, square), bits >> 1
+    return out
 
 
-def _gif(b: bytes, at: int) -> int:
-    if at + 13 > len(b):
+class Value:
+    """A value's bytes and what is known of them: each place is walked once, however many magics lead there."""
+
+    def __init__(self, data: bytes):
+        self.b = data
+        self.ends: dict[tuple, int] = {}
+        self.links: dict[int, tuple] = {}
+
+    def follow(self, kind: str, at: int, step) -> int:
+        """The end of a chain of parts. ``step`` gives a part's follower and None, or None and the end (-1: broken)."""
+        path = []
+        while (kind, at) not in self.ends:
+            path.append(at)
+            on, end = step(self, at)
+            if on is None:
+                self.ends[kind, at] = end
+            else:
+                at = on
+        end = self.ends[kind, at]
+        self.ends.update(((kind, p), end) for p in path)
+        return end
+
+    @cached_property
+    def crcs(self) -> list[int]:
+        out = [0]
+        for at in range(0, len(self.b), CRC_STEP):
+            out.append(zlib.crc32(self.b[at : at + CRC_STEP], out[-1]))
+        return out
+
+    def crc(self, start: int, end: int) -> int:
+        """Check sum of a part, from those of beginnings of the value if it is long."""
+        if end - start <= 2 * CRC_STEP:
+            return zlib.crc32(self.b[start:end])
+        to = [zlib.crc32(self.b[x - x % CRC_STEP : x], self.crcs[x // CRC_STEP]) for x in (start, end)]
+        return to[1] ^ _times(_power(8 * (end - start)), to[0])
+
+    def places(self, mark: bytes) -> list[int]:
+        out, p = [], self.b.find(mark)
+        while p >= 0:
+            out.append(p)
+            p = self.b.find(mark, p + 1)
+        return out
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Where archives start, by the end records, and where they end."""
+        out: dict[int, int] = {}
+        for p in self.places(b"PK\5\6"):
+            if p + 22 <= len(self.b):
+                size, offset, comment = struct.unpack_from("<IIH", self.b, p + 12)
+                if p + 22 + comment <= len(self.b):
+                    out.setdefault(p - offset - size, p + 22 + comment)
+        return out
+
+    @cached_property
+    def pdf_marks(self) -> tuple[list[int], list[int]]:
+        return self.places(b"startxref"), self.places(b"%%EOF")
+
+    def link_chunks(self, at: int) -> None:
+        """Note for each chunk from ``at`` on: its follower, its kind as a bit, its number from the last one on, a far follower, and the kinds up to there.
+
+        Far followers are spread so that a chunk on the chain is reached in a number of jumps that grows as the logarithm of its length.
+        """
+        path = []
+        while at not in self.links and at + 8 <= len(self.b):
+            path.append(at)
+            size = struct.unpack_from("<I", self.b, at + 4)[0]
+            at += 8 + size + (size & 1)
+        number = lambda p: self.links[p][2] if p in self.links else 0
+        for p in reversed(path):
+            kind = CHUNK_BITS.get(self.b[p : p + 4], 0)
+            count, near, kinds = self.links[at][2:] if at in self.links else (0, None, 0)
+            if near in self.links and count - number(near) == number(near) - number(self.links[near][3]):
+                self.links[p] = (at, kind, count + 1, self.links[near][3], kind | kinds | self.links[near][4])
+            else:
+                self.links[p] = (at, kind, count + 1, at, kind)
+            at = p
+
+    def chunks_to(self, at: int, end: int) -> tuple[int, int]:
+        """Where the chunks from ``at`` on leave no room for another before ``end``, and the kinds of them all."""
+        kinds = 0
+        self.link_chunks(at)
+        while at + 8 <= end:
+            on, kind, _, far, over = self.links[at]
+            at, kinds = (far, kinds | over) if far + 8 <= end else (on, kinds | kind)
+        return at, kinds
+
+
+def _png(v: Value, at: int) -> int:
+    return v.follow("png", at + 8, _png_chunk) if v.b[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else -1
+
+
+def _png_chunk(v: Value, p: int) -> tuple:
+    if p + 12 > len(v.b):
+        return None, -1
+    size, kind = struct.unpack_from(">I4s", v.b, p)
+    end = p + 12 + size
+    if end > len(v.b) or v.crc(p + 4, end - 4) != struct.unpack_from(">I", v.b, end - 4)[0]:
+        return None, -1
+    return (None, end) if kind == b"IEND" else (end, None)
+
+
+def _jpeg(v: Value, at: int) -> int:
+    return v.follow("jpeg", at + 2, _jpeg_marker)
+
+
+def _jpeg_marker(v: Value, p: int, scanned: bool = False) -> tuple:
+    """Segments before the first scan; those after it are a chain of their own."""
+    b = v.b
+    if p + 4 > len(b) or b[p] != 0xFF:
+        return None, -1
+    marker = b[p + 1]
+    if marker == 0xFF:
+        return p + 1, None
+    if marker == 0x01 or 0xD0 <= marker <= 0xD8:
+        return None, -1
+    if marker == 0xD9:
+        return None, p + 2 if scanned else -1
+    size = struct.unpack_from(">H", b, p + 2)[0]
+    if size < 2:
+        return None, -1
+    p += 2 + size
+    if marker != 0xDA:
+        return p, None
+    p = v.follow("jpeg data", p, _jpeg_data)
+    if p < 0 or b[p + 1] == 0xD9:
+        return None, p + 2 if p >= 0 else -1
+    return (p, None) if scanned else (None, v.follow("jpeg after a scan", p, _jpeg_later))
+
+
+def _jpeg_data(v: Value, p: int) -> tuple:
+    """Entropy-coded data: up to the next byte 255 that begins a real marker."""
+    p = v.b.find(b"\xff", p)
+    if p < 0 or p + 1 >= len(v.b):
+        return None, -1
+    return (p + 2, None) if v.b[p + 1] == 0 or 0xD0 <= v.b[p + 1] <= 0xD7 else (None, p)
+
+
+def _jpeg_later(v: Value, p: int) -> tuple:
+    return _jpeg_marker(v, p, True)
+
+
+def _gif(v: Value, at: int) -> int:
+    if at + 13 > len(v.b):
         return -1
-    flags = b[at + 10]
-    p = at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-    images = 0
-    while p < len(b):
-        if b[p] == 0x3B:
-            return p + 1 if images else -1
-        if b[p] == 0x21:
-            p += 2
-        elif b[p] == 0x2C and p + 10 <= len(b):
-            flags = b[p + 9]
-            p += 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0)
-            images += 1
-        else:
-            return -1
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return -1
+    flags = v.b[at + 10]
+    return v.follow("gif", at + 13 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), _gif_block)
 
 
-def _riff(form: bytes):
-    def end_of(b: bytes, at: int) -> int:
-        if at + 12 > len(b) or b[at + 8 : at + 12] != form:
-            return -1
-        end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-        if end > len(b):
+def _gif_block(v: Value, p: int, image: bool = False) -> tuple:
+    """Blocks before the first image; those after it are a chain of their own."""
+    b = v.b
+    if p >= len(b):
+        return None, -1
+    if b[p] == 0x3B:
+        return None, p + 1 if image else -1
+    if b[p] == 0x21:
+        end = v.follow("gif data", p + 2, _gif_data)
+        return (end, None) if end > 0 else (None, -1)
+    if b[p] != 0x2C or p + 10 > len(b):
+        return None, -1
+    flags = b[p + 9]
+    end = v.follow("gif data", p + 11 + (3 << (flags & 7) + 1 if flags & 0x80 else 0), _gif_data)
+    if end < 0 or image:
+        return (end, None) if end > 0 else (None, -1)
+    return None, v.follow("gif after an image", end, _gif_later)
+
+
+def _gif_later(v: Value, p: int) -> tuple:
+    return _gif_block(v, p, True)
+
+
+def _gif_data(v: Value, p: int) -> tuple:
+    if p >= len(v.b):
+        return None, -1
+    return (p + v.b[p] + 1, None) if v.b[p] else (None, p + 1)
+
+
+#: Kinds of chunks that types of RIFF media need, as bits.
+CHUNK_BITS = {b"fmt ": 1, b"data": 2, b"LIST": 4}
+
+
+def _riff(form: bytes, needed: int):
+    def end_of(v: Value, at: int) -> int:
+        if at + 12 > len(v.b) or v.b[at + 8 : at + 12] != form:
             return -1
-        p, kinds = at + 12, []
-        while p + 8 <= end:
-            kind, size = struct.unpack_from("<4sI", b, p)
-            kinds.append(kind)
-            p += 8 + size + (size & 1)
-        if p not in (end, end + 1):
+        end = at + 8 + struct.unpack_from("<I", v.b, at + 4)[0]
+        if end > len(v.b):
             return -1
-        needed = {b"WAVE": {b"fmt ", b"data"}, b"AVI ": {b"LIST"}}.get(form, set())
-        return end if kinds and needed <= set(kinds) else -1
+        p, kinds = v.chunks_to(at + 12, end)
+        return end if at + 12 < p and end <= p <= end + 1 and kinds & needed == needed else -1
 
     return end_of
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(v: Value, at: int) -> int:
+    b = v.b
     if at + 30 > len(b):
         return -1
     size, reserved, offset, header = struct.unpack_from("<IIII", b, at + 2)
@@ -132,22 +268,24 @@ def _bmp(b: bytes, at: int) -> int:
     return at + size if fits else -1
 
 
-def _ogg(b: bytes, at: int) -> int:
-    p, pages = at, 0
-    while p + 27 <= len(b) and b[p : p + 5] == b"OggS\0":
-        count = b[p + 26]
-        end = p + 27 + count + sum(b[p + 27 : p + 27 + count])
-        if p + 27 + count > len(b) or end > len(b):
-            return -1
-        pages += 1
-        last = b[p + 5] & 4
-        p = end
-        if last:
-            return p
-    return -1
+def _ogg(v: Value, at: int) -> int:
+    return v.follow("ogg", at, _ogg_page)
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _ogg_page(v: Value, p: int) -> tuple:
+    b = v.b
+    if p + 27 > len(b) or b[p : p + 5] != b"OggS\0":
+        return None, -1
+    count = b[p + 26]
+    end = p + 27 + count + sum(b[p + 27 : p + 27 + count])
+    if p + 27 + count > len(b) or end > len(b):
+        return None, -1
+    return (None, end) if b[p + 5] & 4 else (end, None)
+
+
+def _gzip(v: Value, at: int) -> int:
+    """Members are inflated each on its own: one that breaks costs what it gave up to there."""
+    b = v.b
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return -1
     inflate = zlib.decompressobj(31)
@@ -163,22 +301,19 @@ def _gzip(b: bytes, at: int) -> int:
     return min(p, len(b)) - len(inflate.unused_data) if inflate.eof else -1
 
 
-def _zip(b: bytes, at: int) -> int:
-    p = b.find(b"PK\5\6", at)
-    while p >= 0 and p + 22 <= len(b):
-        size, offset, comment = struct.unpack_from("<IIH", b, p + 12)
-        if at + offset + size == p and p + 22 + comment <= len(b):
-            return p + 22 + comment
-        p = b.find(b"PK\5\6", p + 1)
-    return -1
+def _zip(v: Value, at: int) -> int:
+    return v.zip_ends.get(at, -1)
 
 
-def _pdf(b: bytes, at: int) -> int:
-    if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
+def _pdf(v: Value, at: int) -> int:
+    if not v.b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return -1
-    cross = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", cross) if cross >= 0 else -1
-    return end + 5 if end >= 0 else -1
+    for marks in v.pdf_marks:
+        n = bisect_left(marks, at)
+        if n == len(marks):
+            return -1
+        at = marks[n]
+    return at + 5
 
 
 #: Magic bytes, media type, validator; one magic may begin several types.
@@ -187,9 +322,9 @@ SIGNATURES = (
     (b"\xff\xd8\xff", "image/jpeg", _jpeg),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
-    (b"RIFF", "audio/wav", _riff(b"WAVE")),
-    (b"RIFF", "image/webp", _riff(b"WEBP")),
-    (b"RIFF", "video/avi", _riff(b"AVI ")),
+    (b"RIFF", "audio/wav", _riff(b"WAVE", 3)),
+    (b"RIFF", "image/webp", _riff(b"WEBP", 0)),
+    (b"RIFF", "video/avi", _riff(b"AVI ", 4)),
     (b"BM", "image/bmp", _bmp),
     (b"OggS", "audio/ogg", _ogg),
     (b"\x1f\x8b\x08", "application/gzip", _gzip),
@@ -213,11 +348,11 @@ def automaton(signatures: tuple = SIGNATURES) -> ahocorasick.Automaton:
 def sniff(data: bytes, magics: ahocorasick.Automaton | None = None) -> list[Found]:
     """Confirmed media in ``data``, by start. Media inside other media is listed too."""
     magics = magics or automaton()
-    found = []
+    found, value = [], Value(data)
     for last, (size, numbers) in magics.iter(data.decode("latin-1")):
         start = last - size + 1
         for n in numbers:
-            end = SIGNATURES[n][2](data, start)
+            end = SIGNATURES[n][2](value, start)
             if end > start:
                 found.append(Found(SIGNATURES[n][1], start, end))
                 break
