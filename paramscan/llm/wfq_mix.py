@@ -3,14 +3,15 @@
 Each source's documents are shuffled by a hash. Every copy of a document gets
 a virtual finish time, the source's cumulative words up to and including it
 divided by the source's target, later copies following after a whole pass.
-Copies ordered by that time and cut at the total budget are the mix.
+Copies are range-sorted by that time over the whole corpus and truncated at the
+total budget; what is before the cut is the mix.
 
 Only DataFrame operations are used. Scale: after one scan the work is on rows
-of a few numbers. Running sums are taken in hash buckets of some hundred rows
-whose offsets are prefix sums of prefix sums, so no source, however large,
-meets in one task. The global order is never materialised: histograms over
-virtual time narrow the cut to a range of few rows, and whole ranges below it
-are taken.
+of a few numbers. Both orders, that in each source and that of all copies, are
+cut into ranges of some ten thousand rows: sums are taken in each range and
+shifted by those of the ranges before it, so no source, key or group of copies,
+however large, meets in one task. Of the ranges of copies only the one in which
+the budget ends is put in order, since those below it are taken whole.
 """
 
 from __future__ import annotations
@@ -22,11 +23,9 @@ from .common import checkpoint
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BUCKET_ROWS = 512  # documents of a source that share a running-sum bucket, about
-SUPER = 1024  # buckets that share an offset
-BROADCAST_SOURCES = 20_000  # more sources than that are joined by shuffle
-BINS = 2048  # of virtual time in a histogram
-CUT_ROWS = 5_000  # rows in the range of the cut that are put in exact order
+RANGE_ROWS = 20_000  # of an order that one task sums up, about
+RANGES = 20_000  # of an order at most; with more rows than that, ranges are larger
+SMALL = 20_000  # rows of a table by source or range that are broadcast, or ordered by one task
 
 
 def words(text: Column) -> Column:
@@ -34,6 +33,33 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def ranges_of(rows: int) -> int:
+    return max(1, min(RANGES, -(-rows // RANGE_ROWS)))
+
+
+def _placed(df: DataFrame, order: list[Column], ranges: int) -> DataFrame:
+    """``df`` range-sorted into ``ranges``, numbered by ``_range``; written, so that the numbers stay."""
+    return checkpoint(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def _running(df: DataFrame, order: list[Column], value: str, out: str, ranges: int, by: str | None = None, groups: int = 0) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows up to each in ``order``, which ``by``, one of at most ``groups`` values, comes first in."""
+    to_row = (Window.unboundedPreceding, Window.currentRow)
+    by = [by] if by else []
+    if ranges == 1:
+        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by or [F.lit(0)]).orderBy(*order).rowsBetween(*to_row)))
+    placed = _placed(df, order, ranges)
+    sums = placed.groupBy("_range", *by).agg(F.sum(value).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(*to_row)) - F.col("_s")
+    sums = sums.select(F.col("_range").alias("_r"), *[F.col(c).alias("_by") for c in by], before.alias("_before"))
+    same = placed["_range"] == sums["_r"]
+    for c in by:
+        same = same & placed[c].eqNullSafe(sums["_by"])
+    joined = placed.join(F.broadcast(sums) if ranges + groups <= SMALL else sums, same)
+    within = F.sum(value).over(Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(*to_row))
+    return joined.withColumn(out, within + F.col("_before")).select(*df.columns, out)
+
+
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """Add ``target`` to one row per source ``(source, source_size, ...)``.
 
@@ -43,53 +69,34 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS
     in order of cap to weight, the common level is the largest share per
     weight that the first source not held by its cap allows.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    count, total = sources.agg(F.count("*"), F.sum("source_size")).first()
+    ranges = 1 if count <= SMALL else ranges_of(count)
+    named = F.col("source").asc_nulls_last()
+    ranked = _running(sources.withColumn("one", F.lit(1)), [named], "one", "rank", ranges)
     cycle = F.array(*[F.lit(w).cast("double") for w in weights])
-    weighed = sources.withColumn("weight", F.get(cycle, rank % len(weights))).withColumn("cap", F.lit(repeats) * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    capped = F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cap")
-    open_weight = F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    level = (F.sum("source_size").over(everything) - capped) / open_weight
-    leveled = weighed.withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    leveled = leveled.withColumn("level", F.max(fits).over(everything))
-    return leveled.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))).drop("weight", "cap", "level")
-
-
-def _offsets(sums: DataFrame) -> DataFrame:
-    """``before``: the sum of ``s`` over a source's earlier buckets, in two levels."""
-    sums = sums.withColumn("sb", F.expr(f"bucket div {SUPER}"))
+    weighed = ranked.withColumns({"weight": F.get(cycle, ((F.col("rank") - 1) % len(weights)).cast("int")), "cap": F.lit(repeats) * F.col("source_size")})
+    weighed = weighed.withColumn("ratio", F.col("cap") / F.col("weight"))
+    by_ratio = [F.col("ratio"), named]
+    weighed = _running(_running(weighed, by_ratio, "cap", "caps", ranges), by_ratio, "weight", "weights", ranges)
+    all_weight = F.lit(weighed.agg(F.sum("weight")).first()[0])
+    level = (F.lit(total) - (F.col("caps") - F.col("cap"))) / (all_weight - (F.col("weights") - F.col("weight")))
+    level = weighed.select(level.alias("level"), "ratio").filter("level <= ratio").agg(F.max("level")).first()[0]
+    return weighed.select(*sources.columns, F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
+
+
+def _cut(copies: DataFrame, order: list[Column], ranges: int, budget: int):
+    """The copy in which the budget ends, with the words it still gives as ``part``; None if all fit."""
+    placed = _placed(copies, order, ranges)
     to_row = (Window.unboundedPreceding, Window.currentRow)
-    supers = sums.groupBy("source", "sb").agg(F.sum("s").alias("ss"))
-    supers = supers.withColumn("far", F.sum("ss").over(Window.partitionBy("source").orderBy("sb").rowsBetween(*to_row)) - F.col("ss"))
-    near = sums.withColumn("near", F.sum("s").over(Window.partitionBy("source", "sb").orderBy("bucket").rowsBetween(*to_row)) - F.col("s"))
-    supers = supers.select(F.col("source").alias("o_source"), F.col("sb").alias("o_sb"), "far")
-    joined = near.join(supers, near["source"].eqNullSafe(supers["o_source"]) & (near["sb"] == supers["o_sb"]))
-    return joined.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), (F.col("near") + F.col("far")).alias("before"))
-
-
-def _cut(copies: DataFrame, order: list[str], budget: int) -> tuple | None:
-    """The copy in which the budget ends, as (values of ``order``, words it still gives); None if all fit."""
-    low, high, before = 0.0, copies.agg(F.max("finish")).first()[0], 0
-    if high is None:
+    sums = placed.groupBy("_range").agg(F.sum("size").alias("s"))
+    sums = sums.withColumn("upto_range", F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(*to_row)))
+    hit = sums.filter(F.col("upto_range") >= budget).orderBy("_range").first()
+    if hit is None:
         return None
-    while True:
-        within = copies.filter((F.col("finish") >= low) & (F.col("finish") <= high))
-        width = (high - low) / BINS
-        bin_of = F.least(F.floor((F.col("finish") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
-        bins = within.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high"))
-        running = F.sum("s").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        hit = bins.withColumn("upto", running + before).filter(F.col("upto") >= budget).orderBy("bin").first()
-        if hit is None:
-            return None
-        before, narrowed = hit["upto"] - hit["s"], (hit["low"], hit["high"]) != (low, high)
-        low, high = hit["low"], hit["high"]
-        if hit["n"] <= CUT_ROWS or not narrowed:
-            break
-    upto = F.sum("size").over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)) + before
-    last = copies.filter((F.col("finish") >= low) & (F.col("finish") <= high)).withColumn("row_upto", F.col("upto")).withColumn("upto", upto).filter(F.col("upto") >= budget).orderBy("upto").first()
-    return last, budget - (last["upto"] - last["size"])
+    left = F.lit(budget - (hit["upto_range"] - hit["s"]))
+    within = placed.filter(F.col("_range") == hit["_range"])
+    within = within.withColumn("reach", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(*to_row)))
+    return within.filter(F.col("reach") >= left).withColumn("part", left - (F.col("reach") - F.col("size"))).orderBy("reach").first()
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -99,49 +106,42 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, key:
     most ``repeats`` times its size; the document in which the budget ends
     gives a part. Null and blank texts have size 0 and give nothing; a null
     source is a source of its own; rows alike in every column are separate
-    documents. An empty table gives no rows. Other columns are not read.
+    documents. Null and repeated keys are told apart by their texts. An empty
+    table gives no rows. Other columns are not read.
     """
     h = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), h.alias("h"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("th"))
-    rows = checkpoint(rows)
-    sources = checkpoint(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, repeats))
-    known = sources.agg(F.count("*"), F.sum("source_size")).first()
-    small = known[0] <= BROADCAST_SOURCES
-    plan = sources.withColumnRenamed("source", "t_source")
-    # hash buckets of a source: the hash has 60 bits
-    bucket = F.floor(F.col("h") / F.lit(float(1 << 60)) * F.ceil(F.col("n") / BUCKET_ROWS))
-    rows = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("bucket", bucket)
-    offsets = _offsets(rows.groupBy("source", "bucket").agg(F.sum("size").alias("s")))
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("h", "th", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-    rows = rows.withColumn("upto", F.sum("size").over(in_bucket) + F.col("before"))
-    rows = checkpoint(rows.select("key", "source", "size", "source_size", "target", "h", "th", "upto"))
+    th = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    # rows alike in every column may be taken in any order; numbers keep them from being one range
+    alike = F.xxhash64(F.monotonically_increasing_id())
+    rows = checkpoint(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), h.alias("h"), th.alias("th"), alike.alias("alike")))
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sources = checkpoint(targets(checkpoint(sources), weights, repeats))
+    groups, count, budget = sources.agg(F.count("*"), F.sum("n"), F.sum("source_size")).first()
+    ranges = ranges_of(count or 0)
+    shuffled = [F.col("source").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("h", "th", "key", "size", "alike")]]
+    rows = _running(rows, shuffled, "size", "upto", ranges, "source", groups)
+    plan = sources.select(F.col("source").alias("t_source"), "source_size", "target")
+    rows = rows.join(F.broadcast(plan) if groups <= SMALL else plan, F.col("source").eqNullSafe(F.col("t_source")))
+    rows = checkpoint(rows.select("key", "source", "size", "source_size", "target", "upto"))
 
     def finish(copy: Column) -> Column:
         """Virtual finish time of a copy; null where the copy starts at or after the target."""
         start = copy * F.col("source_size") + F.col("upto") - F.col("size")
         return F.when((F.col("size") > 0) & (start < F.col("target")), (start + F.col("size")) / F.col("target"))
 
-    order = ["finish", "source", "h", "th", "key", "copy"]
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("finish", finish(F.col("copy"))).filter("finish is not null")
-    cut = _cut(copies, order, known[1] or 0)
+    copies = rows.select("source", "size", "source_size", "target", "upto", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"))
+    copies = copies.withColumn("finish", finish(F.col("copy"))).filter("finish is not null").select("finish", "source", "upto", "size")
+    # within a source a document's words so far tell it apart, and times are never equal
+    cut = _cut(copies, [F.col("finish"), F.col("source").asc_nulls_last(), F.col("upto")], ranges, budget or 0)
     taken = F.lit(0).cast("long")
     for copy in range(repeats):
         at = finish(F.lit(copy))
-        if cut is None:
-            gives = F.when(at.isNotNull(), F.col("size"))
-        else:
-            last, part = cut
-            same = F.lit(copy == last["copy"]) & F.col("source").eqNullSafe(F.lit(last["source"])) & (F.col("upto") == last["row_upto"])
-            earlier = F.lit(False)
-            for c in reversed(order):
-                here = at if c == "finish" else F.lit(copy) if c == "copy" else F.col(c)
-                edge = F.lit(last[c])
-                less = (here < edge) if last[c] is not None else here.isNotNull()
-                if last[c] is not None and c in ("source", "key"):
-                    less = F.coalesce(less, F.lit(False))  # null comes last
-                earlier = less | (here.eqNullSafe(edge) & earlier)
-            gives = F.when(same & (F.col("size") > 0), F.lit(part)).when(at.isNotNull() & earlier, F.col("size"))
+        gives = F.when(at.isNotNull(), F.col("size"))
+        if cut is not None:
+            of_cut = F.col("source").eqNullSafe(F.lit(cut["source"]))
+            first = F.col("source").isNotNull() if cut["source"] is None else F.coalesce(F.col("source") < F.lit(cut["source"]), F.lit(False))
+            tie = at == F.lit(cut["finish"])
+            gives = F.when(tie & of_cut & (F.col("upto") == cut["upto"]), F.lit(cut["part"])).when((at < F.lit(cut["finish"])) | tie & (first | of_cut & (F.col("upto") < cut["upto"])), F.col("size"))
         taken = taken + F.coalesce(gives, F.lit(0)).cast("long")
     return rows.select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"))
 

@@ -200,13 +200,19 @@ def test_mix_edges(spark):
     assert sum(r.taken for r in rows) == 10 and all(r.taken <= 3 * r["size"] for r in rows)
 
 
-def test_mix_refines_the_cut(spark, monkeypatch):
-    rows = [(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(400)]
+def test_mix_in_many_ranges(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i if i % 5 else None, "w " * (1 + i % 7), f"s{i % 4}" if i % 11 else None) for i in range(400)]
+    rows += [(7, "the same row", "s1")] * 150  # repeated rows
+    rows += [(None, "w " * rng.randrange(1, 9) + str(i), "s2") for i in range(150)]  # a null key on many texts
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    want = sorted(map(tuple, wfq_mix.mix(df).collect()))
-    monkeypatch.setattr(wfq_mix, "BINS", 4)
-    monkeypatch.setattr(wfq_mix, "CUT_ROWS", 2)
-    monkeypatch.setattr(wfq_mix, "BUCKET_ROWS", 3)
-    monkeypatch.setattr(wfq_mix, "SUPER", 5)
-    monkeypatch.setattr(wfq_mix, "BROADCAST_SOURCES", 0)
-    assert sorted(map(tuple, wfq_mix.mix(df).collect())) == want
+    want = sorted(map(tuple, wfq_mix.mix(df).collect()), key=repr)
+    monkeypatch.setattr(wfq_mix, "RANGE_ROWS", 20)
+    placed = []
+    inner = wfq_mix._placed
+    monkeypatch.setattr(wfq_mix, "_placed", lambda *a: placed.append(inner(*a)) or placed[-1])
+    for small in (wfq_mix.SMALL, 0):
+        monkeypatch.setattr(wfq_mix, "SMALL", small)
+        assert sorted(map(tuple, wfq_mix.mix(df.repartition(7)).collect()), key=repr) == want
+    largest = max(r["count"] for p in placed for r in p.groupBy("_range").count().collect())
+    assert largest < 100  # no source, key or group of equal rows is one range

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -131,6 +132,63 @@ def test_sniffs_corrects_and_carves(kind):
     assert not [f for f in media_sniff.sniff(data[: len(data) // 2]) if f.start == 0]
 
 
+def hostile(n):
+    """Values of about ``n`` bytes in which many magics lead through one structure."""
+    head = b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR" + b"\0" * 13
+    head += struct.pack(">I", zlib.crc32(head[12:]))
+    yield b"".join(head + struct.pack(">I4s", 45 * max(0, n // 45 - i - 1) - 4 if i < n // 45 - 1 else 0, b"IDAT") + b"abcd" for i in range(n // 45))
+    yield (b"PK\3\4" + b"\0" * 26 + b"x") * (n // 31)
+    yield (b"PK\3\4PK\5\6" + b"\0" * 20) * (n // 28)
+    yield (b"OggS\0\0" + b"\0" * 21) * (n // 27)
+    yield b"%PDF-1.4 " * (n // 9)
+    yield b"%PDF-1.4 " * (n // 18) + b"%%EOF " * (n // 18) + b"startxref"
+    yield (b"GIF89a\1\0\1\0\0\0\0," + b"\0" * 9 + b"\2\1a") * (n // 26)
+    yield b"".join(b"RIFF" + struct.pack("<I", n - 20 * i) + b"WAVERIFF\0\0\0\0" for i in range(n // 20))
+    yield (b"RIFF\4\0\0\0WAVE") * (n // 24) + b"data\0\0\0\0" * (n // 16)
+    yield b"\xff\xd8\xff\xe0\0\4ab" * (n // 8)
+    yield b"\xff\xd8\xff\xda\xff\xf0" * (n // 12) + b"\xff\0" * (n // 4)
+    yield b"BM" * (n // 2)
+
+
+def test_hostile_values_take_time_in_proportion():
+    for number, data in enumerate(hostile(1_000_000)):
+        began = time.process_time()
+        media_sniff.sniff(data)
+        assert time.process_time() - began < 15, number
+
+
+def test_check_sums_of_parts():
+    rng = random.Random(2)
+    data = rng.randbytes(700_000)
+    value = media_sniff.Value(data)
+    for _ in range(30):
+        a, b = sorted(rng.randrange(len(data) + 1) for _ in range(2))
+        assert value.crc(a, b) == zlib.crc32(data[a:b])
+
+
+def riff(form, chunks):
+    body = form + b"".join(kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1) for kind, data in chunks)
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_chunks_of_nested_audio():
+    rng = random.Random(7)
+    for _ in range(300):
+        inner, want = b"", []
+        for _ in range(rng.randrange(1, 5)):
+            chunks = [(rng.choice([b"fmt ", b"data", b"JUNK"]), rng.choice([b"", b"x", b"abcd"])) for _ in range(rng.randrange(20))]
+            chunks.insert(rng.randrange(len(chunks) + 1), (b"LIST", inner))
+            outer = riff(b"WAVE", chunks)
+            at = outer.index(inner) if inner else 0
+            if inner:
+                want = [(a + at, b + at) for a, b in want]
+            if {b"fmt ", b"data"} <= {kind for kind, _ in chunks}:
+                want.append((0, len(outer)))
+            inner = outer
+        found = [(f.start, f.end) for f in media_sniff.sniff(inner)]
+        assert found == sorted(want, key=lambda x: (x[0], -x[1]))
+
+
 def test_media_round_trip(spark):
     texts = [None, "", "é" * 96, "a" * 193, "same", "same", "RIFF\x00WAVE" * 50, "x" * 300000]
     df = spark.createDataFrame([(i, t, b"m") for i, t in enumerate(texts)], "doc_id long, text string, media binary")
