@@ -8,8 +8,24 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's ``spark.checkpoint.dir``; a temporary folder serves where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paramscan-"))
+    """``df`` written to the folder that the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary folder serves a local session; on a
+    cluster, whose executors would each write to a disk of their own, it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paramscan-"))
     return df.checkpoint(eager=True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of checkpointed frames that nothing reads any more."""
+    for df in frames:
+        written = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if written.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(written.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
