@@ -1,23 +1,26 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two recurrences, one from each end, read the UTF-8 bytes of a word; a softmax
-over both states labels every position. A document's probabilities are the
-mean over all its positions. The network is trained in numpy by
-backpropagation through time on a bounded sample, on the driver.
-
-The recurrences start anew at each word (a run of letters; one over 32 bytes
-is cut), so the positions of equal words have equal labels: each distinct word
-is run once in a batch of words of about its length, and a table of bounded
-size keeps its sums. Texts are read whole where they lie, without a shuffle.
+Two recurrences, one from each end, read the UTF-8 bytes of a lower-cased text,
+words, spaces, digits and marks alike; a softmax over both states labels every
+position. A document's probabilities are the mean over all its positions. The
+network is trained in numpy by backpropagation through time on a bounded
+sample, on the driver.
+
+Texts are read whole where they lie, without a shuffle. So that a long text
+takes no more steps than a short one, it is read in windows whose recurrences
+begin ``LEAD`` bytes outside of them, on either side. Zero bytes, with which
+what lies beyond a text's ends is filled, clear the states. Windows of all texts
+of a batch are run together.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,44 +28,44 @@ from pyspark.sql import types as T
 from .common import stratified
 
 HIDDEN = 12
-SPAN = 32  # bytes of a word that are read as one sequence
-LANES = 4096  # sequences that are run together
-KEPT_WORDS = 200_000  # words whose sums a worker keeps; then it starts anew
+SPAN = 512  # positions of a window, at most
+STEP = 64  # windows are as long as the next multiple of this
+LEAD = 24  # bytes before and behind a window with which its recurrences begin
+CELLS = 1 << 21  # positions times languages that are run together, about
 SAMPLE = 250  # documents of each language, about
-SAMPLE_CHARS = 4_000  # characters of each document that the sample holds
-LANGUAGES = 400  # at most, the most frequent ones
-STEPS = 500
-BATCH = 512
-RATE = 0.01
+SAMPLE_CHARS = 4_000  # characters of each document that the sample holds, from a place set by its hash
+LANGUAGES = 400  # learned at most, the most frequent ones
+STEPS = 300
+BATCH = 256
+TRAIN_SPAN = 32
+RATE = 0.015
 UNKNOWN = "und"
 
-WORDS = re.compile(r"[^\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
 
 
-def sequences(words: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """Byte sequences of ``words`` of at most ``SPAN`` bytes, and the number of the word of each."""
-    pieces, owner = [], []
-    for n, word in enumerate(words):
-        data = word.encode("utf-8", "surrogatepass")
-        for at in range(0, len(data), SPAN):
-            pieces.append(data[at : at + SPAN])
-            owner.append(n)
-    return pieces, np.array(owner, np.int64)
-
-
-def packed(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(steps x lanes) bytes, lengths, and the steps in reverse order within each length."""
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    steps = int(lengths.max())
-    x = np.frombuffer(b"".join(p.ljust(steps, b"\0") for p in pieces), np.uint8).reshape(-1, steps).T
-    at = np.arange(steps)[:, None]
-    return x, lengths, np.where(at < lengths, lengths - 1 - at, at)
+def windows(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """``(positions, bytes)`` of each window of a text: ``LEAD`` bytes, the window's, filled to a multiple of ``STEP``, and ``LEAD`` more."""
+    zeros = b"\0" * LEAD
+    for at in range(0, len(data), SPAN):
+        count = min(SPAN, len(data) - at)
+        size = -(-count // STEP) * STEP
+        before = data[max(0, at - LEAD) : at]
+        piece = zeros[len(before) :] + before + data[at : at + size + LEAD]
+        yield count, np.frombuffer(piece.ljust(size + 2 * LEAD, b"\0"), np.uint8)
 
 
 def _sigmoid(a: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * a)
 
 
+def _softmax(logits: np.ndarray, axis: int) -> np.ndarray:
+    logits -= logits.max(axis=axis, keepdims=True)
+    p = np.exp(logits, out=logits)
+    p /= p.sum(axis=axis, keepdims=True)
+    return p
+
+
 @dataclass
 class Network:
     """Weights by name: ``x`` (256 x 3H), ``u`` (H x 3H) of each direction, ``v`` (2H x C), ``c``."""
@@ -80,8 +83,8 @@ class Network:
     def run(self, x: np.ndarray, way: str, keep: list | None = None) -> np.ndarray:
         """States after each step, (steps x lanes x H). ``keep`` gets what the way back needs."""
         wx, wu, h = self.weights[way + "x"], self.weights[way + "u"], HIDDEN
-        state = np.zeros((x.shape[1], h), np.float32)
-        out = np.empty((*x.shape, h), np.float32)
+        state = np.zeros((x.shape[1], h), wx.dtype)
+        out = np.empty((*x.shape, h), wx.dtype)
         for t in range(len(x)):
             a, u = wx[x[t]], state @ wu
             zr = _sigmoid(a[:, : 2 * h] + u[:, : 2 * h])
@@ -89,18 +92,18 @@ class Network:
             n = np.tanh(a[:, 2 * h :] + r * un)
             if keep is not None:
                 keep.append((state, z, r, un, n))
-            state = n + z * (state - n)
+            state = (n + z * (state - n)) * (x[t] > 0)[:, None]
             out[t] = state
         return out
 
     def back(self, x: np.ndarray, way: str, kept: list, d_out: np.ndarray) -> dict:
         wu, h = self.weights[way + "u"], HIDDEN
         d_state = np.zeros_like(kept[0][0])
-        d_pre = np.empty((*x.shape, 3 * h), np.float32)
+        d_pre = np.empty((*x.shape, 3 * h), wu.dtype)
         d_u = np.zeros_like(wu)
         for t in range(len(x) - 1, -1, -1):
             state, z, r, un, n = kept[t]
-            d = d_out[t] + d_state
+            d = (d_out[t] + d_state) * (x[t] > 0)[:, None]
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (state - n) * z * (1 - z)
             dr = dn * un * r * (1 - r)
@@ -115,55 +118,118 @@ class Network:
         d_x[used] = np.add.reduceat(rows[order], first, axis=0)
         return {way + "x": d_x, way + "u": d_u}
 
-    def positions(self, x: np.ndarray, reverse: np.ndarray, keep: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Both directions' states and the class probabilities of every position."""
+    def positions(self, x: np.ndarray, keep: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Both directions' states and the class probabilities of every position of (steps x lanes) bytes."""
         forward = self.run(x, "f", keep[0] if keep else None)
-        backward = self.run(np.take_along_axis(x, reverse, 0), "b", keep[1] if keep else None)
-        both = np.concatenate([forward, np.take_along_axis(backward, reverse[..., None], 0)], axis=2)
-        logits = both @ self.weights["v"] + self.weights["c"]
-        logits -= logits.max(axis=2, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(axis=2, keepdims=True)
-        return both, p
-
-    def sums(self, words: list[str]) -> np.ndarray:
-        """(words x classes): probabilities summed over each word's positions."""
-        pieces, owner = sequences(words)
-        out = np.zeros((len(words), len(self.languages)))
-        order = np.argsort(np.fromiter(map(len, pieces), np.int64, len(pieces)), kind="stable")
-        for at in range(0, len(order), LANES):
-            lanes = order[at : at + LANES]
-            x, lengths, reverse = packed([pieces[i] for i in lanes])
-            p = self.positions(x, reverse)[1]
-            p *= (np.arange(len(x))[:, None] < lengths)[..., None]
-            np.add.at(out, owner[lanes], p.sum(axis=0))
-        return out
+        backward = self.run(x[::-1], "b", keep[1] if keep else None)[::-1]
+        both = np.concatenate([forward, backward], axis=2)
+        return both, _softmax(both @ self.weights["v"] + self.weights["c"], 2)
+
+    def gradients(self, x: np.ndarray, wanted: np.ndarray, weight: np.ndarray) -> dict:
+        """Gradients of the log loss of (lanes) classes, each position of each lane by its weight."""
+        keep: tuple = ([], [])
+        both, p = self.positions(x, keep)
+        p[:, np.arange(len(wanted)), wanted] -= 1
+        p *= weight[..., None]
+        d_both = p @ self.weights["v"].T
+        grads = {"v": np.tensordot(both, p, ((0, 1), (0, 1))), "c": p.sum(axis=(0, 1))}
+        grads |= self.back(x, "f", keep[0], d_both[..., :HIDDEN])
+        return grads | self.back(x[::-1], "b", keep[1], d_both[::-1, :, HIDDEN:])
+
+    def one_way(self, x: np.ndarray, way: str, out: np.ndarray) -> None:
+        """Add one direction's share of the logits of a window's positions to ``out``, (positions x classes x lanes).
+
+        As ``run``, but with lanes last and without the steps behind the window; sigmoids are tanh of half the argument.
+        """
+        h = HIDDEN
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)
+        wx, wu = (self.weights[way + "x"] * half).T.copy(), (self.weights[way + "u"] * half).T.copy()
+        v = (self.weights["v"][:h] if way == "f" else self.weights["v"][h:]).T.copy()
+        state = np.zeros((h, x.shape[1]), np.float32)
+        u = np.empty((3 * h, x.shape[1]), np.float32)
+        live = x > 0
+        whole = live.all(axis=1)
+        for t in range(len(x) - LEAD):
+            a = np.take(wx, x[t], axis=1)
+            np.dot(wu, state, out=u)
+            zr, n = a[: 2 * h], a[2 * h :]
+            zr += u[: 2 * h]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            u[2 * h :] *= zr[h:]
+            n += u[2 * h :]
+            np.tanh(n, out=n)
+            state -= n
+            state *= zr[:h]
+            state += n
+            if not whole[t]:
+                state *= live[t]
+            if t >= LEAD:
+                out[t - LEAD] += v @ state
+
+    def sums(self, lanes: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """(windows x classes): probabilities summed over the positions of windows of one size."""
+        x = np.array([data for _, data in lanes]).T.copy()
+        out = np.empty((len(x) - 2 * LEAD, len(self.languages), len(lanes)), np.float32)
+        out[:] = self.weights["c"][:, None]
+        self.one_way(x, "f", out)
+        self.one_way(x[::-1], "b", out[::-1])
+        p = _softmax(out, 1)
+        real = np.arange(len(p))[:, None] < np.array([count for count, _ in lanes])
+        return np.einsum("tcl,tl->lc", p, real.astype(np.float32), dtype=np.float64)
+
+    def read(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """The best language of each text and its mean probability over all positions."""
+        waiting: dict[int, list] = {}
+        totals, lengths = [], []
+
+        def flush(size: int) -> None:
+            lanes = waiting.pop(size)
+            np.add.at(sums, [owner for owner, _ in lanes], self.sums([lane for _, lane in lanes]))
+
+        texts = list(texts)
+        sums = np.zeros((len(texts), len(self.languages)))
+        for owner, text in enumerate(texts):
+            known = text is not None and LETTER.search(text) is not None
+            data = text.lower().encode("utf-8", "surrogatepass") if known else b""
+            lengths.append(len(data))
+            for lane in windows(data):
+                size = len(lane[1])
+                waiting.setdefault(size, []).append((owner, lane))
+                if len(waiting[size]) * size * len(self.languages) >= CELLS:
+                    flush(size)
+        for size in list(waiting):
+            flush(size)
+        for p, length in zip(sums, lengths):
+            best = int(p.argmax())
+            totals.append((self.languages[best], round(float(p[best] / length), 6)) if length else (UNKNOWN, 0.0))
+        return totals
 
 
 def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 5) -> Network:
-    """Adam on the mean log loss of every position; each language is drawn equally often."""
+    """Adam on the mean log loss of the positions of windows drawn from anywhere in the texts; each language is drawn equally often."""
     languages = sorted(set(labels))
     net = Network.fresh(languages)
-    pools = [[p for t, v in zip(texts, labels) if v == language for p in sequences(WORDS.findall((t or "").lower()))[0]] for language in languages]
+    data = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    pools = [[d for d, v in zip(data, labels) if v == language and d] for language in languages]
     usable = [k for k, pool in enumerate(pools) if pool]
     if len(languages) < 2 or not usable:
         return net
     rng = np.random.default_rng(seed)
+    zeros = b"\0" * LEAD
+    pools = [[zeros + d.ljust(TRAIN_SPAN, b"\0") + zeros for d in pool] for pool in pools]
+    size = TRAIN_SPAN + 2 * LEAD
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
     for step in range(1, steps + 1):
         classes = rng.choice(usable, BATCH)
-        x, lengths, reverse = packed([pools[k][rng.integers(len(pools[k]))] for k in classes])
-        keep: tuple = ([], [])
-        both, p = net.positions(x, reverse, keep)
-        real = (np.arange(len(x))[:, None] < lengths).astype(np.float32)
-        p[:, np.arange(len(classes)), classes] -= 1
-        p *= (real / real.sum())[..., None]
-        grads = {"v": np.tensordot(both, p, ((0, 1), (0, 1))), "c": p.sum(axis=(0, 1))}
-        d_both = p @ net.weights["v"].T
-        grads |= net.back(x, "f", keep[0], d_both[..., :HIDDEN])
-        turned = np.take_along_axis(x, reverse, 0)
-        grads |= net.back(turned, "b", keep[1], np.take_along_axis(d_both[..., HIDDEN:], reverse[..., None], 0))
+        drawn = [pools[k][rng.integers(len(pools[k]))] for k in classes]
+        starts = [rng.integers(len(d) - size + 1) for d in drawn]
+        x = np.frombuffer(b"".join(d[s : s + size] for d, s in zip(drawn, starts)), np.uint8).reshape(BATCH, size).T
+        weight = (x > 0).astype(np.float32)
+        weight[:LEAD] = weight[-LEAD:] = 0
+        grads = net.gradients(x, classes, weight / max(1.0, weight.sum()))
         rate = RATE * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         for k, g in grads.items():
             first[k] += 0.1 * (g - first[k])
@@ -173,61 +239,16 @@ def train(texts: list[str], labels: list[str], steps: int = STEPS, seed: int = 5
 
 
 def fit(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
-    """Train on the leading ``SAMPLE_CHARS`` of a bounded sample of the rows that ``learnable`` (over the key) admits. None without a language."""
+    """Train on ``SAMPLE_CHARS`` of each of a bounded sample of the rows that ``learnable`` (over the key) admits. None without a language.
+
+    Rows without a language or text are left out; of rows alike in key, text and language one is taken.
+    """
     rows = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    drawn = stratified(rows, "key", "lang", SAMPLE, LANGUAGES).select("key", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    got = sorted(map(tuple, drawn.limit(2 * SAMPLE * LANGUAGES).collect()))
-    return train([t for _, _, t in got], [v for _, v, _ in got]) if got else None
-
-
-class Reader:
-    """Document probabilities with the sums of words seen before."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.net.languages)))
-
-    def pooled(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(self.net.languages))
-        for at in range(0, len(words), KEPT_WORDS):
-            some = words[at : at + KEPT_WORDS]
-            new = list(set(some).difference(self.index))
-            if new:
-                if len(self.index) + len(new) > KEPT_WORDS:
-                    self.clear()
-                    new = list(set(some))
-                self.add(new)
-            total += self.table[np.fromiter(map(self.index.__getitem__, some), np.int64, len(some))].sum(axis=0)
-        return total
-
-    def add(self, new: list[str]) -> None:
-        sums = self.net.sums(new)
-        at = len(self.index)
-        if at + len(new) > len(self.table):
-            grown = np.zeros((max(2 * len(self.table), at + len(new)), sums.shape[1]))
-            grown[: len(self.table)] = self.table
-            self.table = grown
-        self.table[at : at + len(new)] = sums
-        self.index.update(zip(new, range(at, at + len(new))))
-
-    def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        lists = [WORDS.findall(t.lower()) if t else [] for t in texts]
-        new = list(set().union(*lists).difference(self.index))
-        if 0 < len(new) and len(new) + len(self.index) <= KEPT_WORDS:
-            self.add(new)
-        out = []
-        for words in lists:
-            if not words:
-                out.append((UNKNOWN, 0.0))
-                continue
-            p = self.pooled(words)
-            best = int(p.argmax())
-            out.append((self.net.languages[best], float(p[best] / p.sum())))
-        return out
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    start = F.pmod(F.col("th"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    drawn = stratified(rows, ["key", "th"], "lang", SAMPLE, LANGUAGES).select("key", "lang", "th", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
+    got = sorted(map(tuple, drawn.groupBy("key", "lang", "th").agg(F.min("text")).collect()), key=repr)
+    return train([t for *_, t in got], [v for _, v, _, _ in got]) if got else None
 
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -237,20 +258,14 @@ def with_language(docs: DataFrame, net: Network | None, text: str = "text", out:
     """Add ``out``: a struct of ``lang_pred`` and ``score``, the mean probability of that language over all positions.
 
     Null texts and texts without a letter get ``und`` with score 0, and so do
-    all texts if nothing could be learned.
+    all texts if nothing could be learned. An empty table gives no rows, repeated
+    rows have each its own. A column named ``out`` is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast({"net": net and (net.languages, net.weights)})
+    sent = docs.sparkSession.sparkContext.broadcast(net and (net.languages, net.weights))
 
     @F.pandas_udf(RESULT)
-    def language(batches: pd.Series) -> pd.DataFrame:
-        found = [(UNKNOWN, 0.0)] * len(batches)
-        if sent.value["net"]:
-            # a worker process keeps the broadcast value, and so the reader, for all its tasks
-            reader = sent.value.setdefault("reader", None) or Reader(Network(*sent.value["net"]))
-            sent.value["reader"] = reader
-            texts = list(batches)
-            found = [x for at in range(0, len(texts), 500) for x in reader.read(texts[at : at + 500])]
+    def language(texts: pd.Series) -> pd.DataFrame:
+        found = Network(*sent.value).read(texts) if sent.value else [(UNKNOWN, 0.0)] * len(texts)
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return docs.withColumn(out, language(F.col(text)))
-
