@@ -9,9 +9,16 @@ checked inside the join.
 
 Scale: equal fingerprints collapse before candidates are made, so a group of
 exact copies costs one entry. Tables hold 8-byte fingerprints and ids, never
-texts. Components are contracted by alternating large-star and small-star
-rounds, each written to the shared checkpoint folder; hub vertices are joined
-against one pre-aggregated row, which adaptive execution can split.
+texts. A half that more than ``HOT`` fingerprints share is indexed once more:
+of the other half, at most 3 bits of which differ, one 16-bit quarter differs in
+at most 1 bit, so entries and probes of hot halves go by half and quarter, 48
+bits together. All entries under such a key differ in the other 16 bits only.
+So neither a key's entries nor a fingerprint's links (those within 3 bits, some
+43,000 at most, whatever the corpus) grow with the corpus without bound.
+
+Components are contracted by alternating large-star and small-star rounds, each
+written to the shared checkpoint folder; hub vertices are joined against one
+pre-aggregated row, which adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -19,15 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint
+from .common import checkpoint, discard
 
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
+HOT = 512  # fingerprints with one half before it is indexed by quarters
+BROADCAST_HOT = 1 << 18  # hot halves that are broadcast, 16 bytes each
 BLOCK = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -67,32 +76,49 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprin
     return docs.withColumn(out, fingerprint_udf(F.col(text)))
 
 
+def _ball(value: str, bits: int, flip: bool) -> Column:
+    """Points of the ball of radius 1 about a value, one a row, as ``(flip, point)`` structs.
+
+    A pair that differs in one bit is to be fetched once, so only the member with
+    that bit set goes there.
+    """
+    flips = [0] + ([1 << i for i in range(bits)] if flip else [])
+    points = F.filter(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: (x == 0) | (F.col(value).bitwiseAND(x) != 0))
+    return F.explode(F.transform(points, lambda x: F.struct(x.alias("flip"), F.col(value).bitwiseXOR(x).alias("point"))))
+
+
 def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``(u, v)`` of distinct fingerprints (column ``fp``) that differ in 1 to ``max_bits`` bits.
 
     ``max_bits`` is at most 3: each half's ball has radius ``max_bits // 2``.
-    A pair may come twice, once from each half.
+    A pair may come more than once, from each half and quarter.
     """
     if not 1 <= max_bits <= 3:
         raise ValueError("max_bits must be 1, 2 or 3")
-    low = F.lit((1 << 32) - 1)
-    halves = F.array(
-        F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(low).alias("value")),
-        F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("value")),
-    )
-    entries = fingerprints.select("fp", F.explode(halves).alias("e")).select("fp", "e.half", "e.value")
-    flips = [0] + ([1 << i for i in range(32)] if max_bits >= 2 else [])
-    ball = F.explode(F.array(*[F.lit(x).cast("long") for x in flips]))
-    probes = (
-        entries.withColumn("flip", ball)
-        .filter((F.col("flip") == 0) | (F.col("value").bitwiseAND(F.col("flip")) != 0))
-        .select(F.col("fp").alias("p"), "half", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), (F.col("flip") == 0).alias("same"))
-    )
-    return (
-        probes.join(entries, ["half", "value"])
-        .filter((F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= max_bits) & F.when(F.col("same"), F.col("p") < F.col("fp")).otherwise(True))
-        .select(F.greatest("p", "fp").alias("u"), F.least("p", "fp").alias("v"))
-    )
+    low = F.col("fp").bitwiseAND(F.lit((1 << 32) - 1))
+    high = F.shiftrightunsigned("fp", 32)
+    halves = F.array(*[F.struct(F.lit(n).alias("half"), a.alias("value"), b.alias("other")) for n, (a, b) in enumerate([(low, high), (high, low)])])
+    entries = fingerprints.select("fp", F.explode(halves).alias("e")).select("fp", "e.*")
+    probes = entries.withColumn("b", _ball("value", 32, max_bits > 1)).select(F.col("fp").alias("p"), "half", F.col("b.point").alias("value"), (F.col("b.flip") == 0).alias("same"), F.col("other").alias("p_other"))
+    hot = checkpoint(entries.groupBy("half", "value").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("half", "value"))
+    many = hot.count()
+    if not many:
+        return _close(probes.drop("p_other").join(entries.drop("other"), ["half", "value"]), max_bits)
+    hot = F.broadcast(hot) if many <= BROADCAST_HOT else hot
+    cold = _close(probes.join(entries.join(hot, ["half", "value"], "left_anti"), ["half", "value"]), max_bits)
+    quarter = lambda other: F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.shiftrightunsigned(other, 16 * q).bitwiseAND(F.lit(0xFFFF)).alias("qv")) for q in range(2)]))
+    fine = entries.join(hot, ["half", "value"], "left_semi").withColumn("e", quarter("other")).select("fp", "half", "value", "e.q", F.col("e.qv").alias("qv"))
+    # within a half both members of a pair meet in the ball of either, so here all points are needed
+    flips = F.explode(F.array(*[F.lit(x).cast("long") for x in [0] + [1 << i for i in range(16)]]))
+    seek = probes.join(hot, ["half", "value"], "left_semi").withColumn("e", quarter("p_other")).withColumn("x", flips)
+    seek = seek.select("p", "half", "value", "same", F.col("e.q").alias("q"), F.col("e.qv").bitwiseXOR(F.col("x")).alias("qv"))
+    return cold.union(_close(seek.join(fine, ["half", "value", "q", "qv"]), max_bits))
+
+
+def _close(pairs: DataFrame, max_bits: int) -> DataFrame:
+    """Of candidates ``p`` and ``fp``, those whose whole distance is small; of pairs in one bucket each once."""
+    near = F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= max_bits
+    return pairs.filter(near & F.when(F.col("same"), F.col("p") < F.col("fp")).otherwise(True)).select(F.greatest("p", "fp").alias("u"), F.least("p", "fp").alias("v"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -105,7 +131,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = checkpoint(small.filter("u != v").distinct())
+        old, edges = edges, checkpoint(small.filter("u != v").distinct())
+        discard(old)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
@@ -145,11 +172,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits:
     Of several rows with that key in the group, the first by the hash of all
     columns stays. A group whose keys are all null keeps one of its rows.
     """
-    found = checkpoint(_grouped(docs, key, text, max_bits).withColumnsRenamed({"key": "__key", "fp": "__fp", "root": "__root"}))
-    chosen = found.filter(F.col("__key").eqNullSafe(F.col("component_id"))).select("__key", "__fp", "__root")
-    if found.groupBy("__key").count().filter("count > 1 or __key is null").isEmpty():
-        return docs.join(chosen.select("__key"), docs[key] == chosen["__key"], "left_semi")
-    marked = with_fingerprint(docs, text, "__print")
-    near = marked.join(chosen.distinct(), marked[key].eqNullSafe(chosen["__key"]) & (marked["__print"] == chosen["__fp"]))
-    order = Window.partitionBy("__root").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return near.withColumn("__row", F.row_number().over(order)).filter("__row = 1").select(*docs.columns)
+    found = checkpoint(_grouped(docs, key, text, max_bits))
+    chosen = found.filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("c_key"), "fp", "root")
+    if found.groupBy("key").count().filter("count > 1 or key is null").isEmpty():
+        return docs.join(chosen, docs[key] == chosen["c_key"], "left_semi")
+    # rows are carried whole in one column, so that no name of theirs clashes
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("key"), fingerprint_udf(F.col(text)).alias("print"))
+    near = rows.join(chosen.distinct(), rows["key"].eqNullSafe(chosen["c_key"]) & (rows["print"] == chosen["fp"]))
+    # the least hash of each group, then one of the rows that have it; groups of equal rows are reduced before they are shuffled
+    least = near.select("root", "row", F.xxhash64("row").alias("h")).groupBy("root").agg(F.min_by("row", "h").alias("row"))
+    return least.select("row.*")
