@@ -13,7 +13,10 @@ Only DataFrame operations are used. Scale: the benchmark's table of seeds is
 broadcast while its words are counted to be few enough, so that documents are
 streamed past it in one pass without a shuffle, their word hashes expanded
 inside generated code; only confirmed rows are shuffled. A larger benchmark
-is joined by shuffled seeds of a few numbers each.
+is joined by shuffled seeds of a few numbers each. There a seed's documents are
+spread over ``SALTS`` tasks, each of which gets the benchmark's entries, so that
+a passage of a third of all documents is no task of its own; what is still
+uneven adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ SHORT_MASKS = {(0, 1, 2, 3): tuple(range(5, 13)), (0, 1, 4, 5): (6, 7, 10, 11),
 WINDOW = 13
 SIMILARITY = 0.8
 SHORTEST = 5  # words; shorter items are too common to be evidence
+SALTS = 16  # tasks over which the documents of one seed are spread
 BROADCAST_WORDS = 400_000  # words of a benchmark whose seeds are broadcast, about 60 MB
 
 
@@ -103,7 +107,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
         hits = _seeds(rows, masks, False, "key", "th").join(held(seeds), F.col("seed") == F.col("s_seed"))
         hits = hits.join(held(words), F.col("s_ikey") == F.col("ikey")).withColumns({"shift": F.col("at") - F.col("iat"), "last": F.col("iat")})
     else:
-        found = _seeds(rows, masks, False, "key", "th").select("key", "th", "at", "seed").join(seeds, F.col("seed") == F.col("s_seed"))
+        salted = seeds.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = _seeds(rows, masks, False, "key", "th").select("key", "th", "at", "seed", F.pmod(F.xxhash64("th", "at"), F.lit(SALTS)).cast("int").alias("salt"))
+        found = found.join(salted, (F.col("seed") == F.col("s_seed")) & (F.col("salt") == F.col("s_salt")))
         found = found.select(F.col("key").alias("f_key"), F.col("th").alias("f_th"), "s_ikey", "iat", (F.col("at") - F.col("iat")).alias("shift"))
         found = found.groupBy("f_key", "f_th", "s_ikey", "shift", F.floor(F.col("iat") / SHORTEST)).agg(F.min("iat").alias("iat"), F.max("iat").alias("last"))
         texts = rows.dropDuplicates(["key", "th"])
