@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .span_sql import spans_query
 
 BLOCK = 64  # matches whose lengths are summed at once
@@ -124,22 +125,24 @@ def with_pii(docs: DataFrame, text: str = "text", out: str = "pii", kinds: tuple
     """Add ``out``: an array of ``(start, rank, kind, end, score)``, sorted; code points, end exclusive, rank the kind's place.
 
     A confirmed match of a base kind always stays; the others need a score of
-    ``KEEP``. Null and empty texts have an empty array.
+    ``KEEP``. Null and empty texts have an empty array. All columns stay but one
+    named ``out``, which is replaced.
     """
-    names = docs.columns
-    col = lambda what, kind: F.col(f"__{what}_{kind.name}")
+    names = [c for c in docs.columns if c != out]
+    # temporary columns by kind and by what they hold, none of which hides a column of ``docs``
+    fresh = {k.name: dict(zip("mpsk", unused(docs, *(f"{what} of {k.name}" for what in ("matches", "pieces", "starts", "kept"))))) for k in kinds}
+    col = lambda what, kind: F.col(fresh[kind.name][what])
     body = F.coalesce(F.col(text), F.lit(""))
 
     def matched(kind: Kind) -> Column:
         found = F.regexp_extract_all(body, F.lit(kind.regex), F.lit(0))
         return F.when(F.contains(body, F.lit(kind.needs)), found) if kind.needs else found
 
-    docs = docs.withColumns({f"__m_{k.name}": matched(k) for k in kinds})
-    docs = docs.withColumns({f"__p_{k.name}": F.when(F.size(col("m", k)) > 0, F.split(body, k.regex, -1)) for k in kinds})
+    docs = docs.withColumns({fresh[k.name]["m"]: matched(k) for k in kinds})
+    docs = docs.withColumns({fresh[k.name]["p"]: F.when(F.size(col("m", k)) > 0, F.split(body, k.regex, -1)) for k in kinds})
     # a piece, then the match behind it, and so on: lengths of both in turn
-    docs = docs.withColumns({f"__s_{k.name}": _pair_starts(col("m", k), col("p", k)) for k in kinds})
-    spans = [_spans(rank, kind, col("m", kind), col("p", kind), col("s", kind)) for rank, kind in enumerate(kinds)]
-    docs = docs.withColumns({f"__k_{k.name}": s for k, s in zip(kinds, spans)})
+    docs = docs.withColumns({fresh[k.name]["s"]: _pair_starts(col("m", k), col("p", k)) for k in kinds})
+    docs = docs.withColumns({fresh[k.name]["k"]: _spans(rank, k, col("m", k), col("p", k), col("s", k)) for rank, k in enumerate(kinds)})
     merged = F.filter(F.array(*[col("k", k) for k in kinds]), lambda x: x.isNotNull())
     return docs.select(*[F.col(c) for c in names], F.array_sort(F.flatten(merged)).alias(out))
 
@@ -152,17 +155,17 @@ def _pair_starts(matches: Column, pieces: Column) -> Column:
 
 def _spans(rank: int, kind: Kind, matches: Column, pieces: Column, starts: Column) -> Column:
     """The kept spans of one kind; null without matches."""
-    m, p, s = f"__m_{kind.name}", f"__p_{kind.name}", f"__s_{kind.name}"
 
     def span(x: Column) -> Column:
-        start = x[s] + F.length(x[p])
-        near = F.lower(F.right(x[p], F.lit(CONTEXT))).rlike(f"\\b(?:{kind.context})")
+        start = x["s"] + F.length(x["p"])
+        near = F.lower(F.right(x["p"], F.lit(CONTEXT))).rlike(f"\\b(?:{kind.context})")
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, 0.3).otherwise(0.0))
-        ok = F.coalesce(kind.check(x[m]), F.lit(False))
-        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (start + F.length(x[m])).alias("end"), score.alias("score"), ok.alias("ok"))
+        ok = F.coalesce(kind.check(x["m"]), F.lit(False))
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (start + F.length(x["m"])).alias("end"), score.alias("score"), ok.alias("ok"))
 
     # the last piece has no match behind it
-    held = F.filter(F.arrays_zip(matches, pieces, starts), lambda x: x[m].isNotNull())
+    zipped = F.arrays_zip(matches.alias("m"), pieces.alias("p"), starts.alias("s"))
+    held = F.filter(zipped, lambda x: x["m"].isNotNull())
     kept = F.filter(F.transform(held, span), lambda x: x["ok"] & (F.lit(rank < BASE) | (x["score"] >= KEEP)))
     return F.when(pieces.isNotNull(), kept)
 
