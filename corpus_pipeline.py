@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paramscan.llm import decontaminate, secret_dfa, simhash_mih, toxicity_subword, wfq_mix
-from paramscan.llm.common import checkpoint, key_mod, table
+from paramscan.llm.common import checkpoint, discard, key_mod, table, unused
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # learned from the whole labelled table, apart from the rows held out for measuring
     learnable = key_mod(F.col("doc_id"), 5) != 0
     model = toxicity_subword.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learnable)
-    scored = toxicity_subword.with_score(docs, model, out="__toxicity")
-    return scored.filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+    (score,) = unused(docs, "toxicity")
+    return toxicity_subword.with_score(docs, model, out=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked in ``text`` and ``n_chars``, if there, set anew where that changed it."""
-    masked = secret_dfa.redact(docs.withColumn("__before", F.length("text")))
+    (before,) = unused(docs, "length")
+    masked = secret_dfa.redact(docs.withColumn(before, F.length("text")))
     if "n_chars" in docs.columns:
-        changed = F.length("text") != F.col("__before")
+        changed = F.length("text") != F.col(before)
         masked = masked.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return masked.drop("__before")
+    return masked.drop(before)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +58,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. Stages read their input more than once, so each result but the last is written to the checkpoint folder."""
     docs = table(spark, sf_dir, "documents")
+    written = None
     for _, stage in STAGES[:-1]:
-        docs = checkpoint(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        before, written = written, checkpoint(stage(spark, docs if written is None else written, sf_dir))
+        if before is not None:
+            discard(before)
+    return STAGES[-1][1](spark, docs if written is None else written, sf_dir)

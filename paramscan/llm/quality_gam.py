@@ -188,16 +188,18 @@ def features_udf(texts: pd.Series) -> pd.Series:
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Train on a bounded sample of the rows of ``labels`` that ``learnable`` (over the key) admits.
 
-    Rows without a label or key are left out. The sample is broadcast to the
-    texts, which are not shuffled; the bias is then set to the classes' shares
-    among all labels.
+    Rows without a label or key are left out; of a repeated key one row is
+    taken. The sample is broadcast to the texts, of which only its rows are
+    shuffled; the bias is then set to the classes' shares among all labels.
+    Without labels of both classes scores are constant.
     """
     rows = labels.filter(learnable).filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("label"))
     shares = dict(rows.groupBy("label").count().collect())
-    rows = stratified(rows, "key", "label", SAMPLE, classes=2)
+    # one row a key, of several the better label and the text with the least hash
+    rows = stratified(rows, "key", "label", SAMPLE, classes=2).groupBy("key").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(key).alias("t_key"), F.col(text).alias("text"))
-    found = texts.join(F.broadcast(rows), F.col("key") == F.col("t_key")).select("key", "label", features_udf("text").alias("x"))
-    got = sorted((k, v, list(x)) for k, v, x in found.limit(4 * SAMPLE).collect())
+    found = texts.join(F.broadcast(rows), F.col("key") == F.col("t_key")).groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = sorted((k, v, list(x)) for k, v, x in found.select("key", "label", features_udf("text").alias("x")).collect())
     y = np.array([v for _, v, _ in got], int)
     model = train(np.array([x for _, _, x in got]).reshape(-1, len(FEATURES)), y)
     if 0 < y.sum() < len(y):

@@ -175,6 +175,6 @@ def with_token_counts(docs: DataFrame, text: str = "text", out: str = "tokens",
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per input row: ``key``, ``n_pretokens``, ``n_tokens``."""
+    """One row per input row: ``key``, ``n_pretokens``, ``n_tokens``. Null and empty texts have 0 of both; repeated rows have each its own; an empty table gives none."""
     rows = with_token_counts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "tokens", vocabulary)
     return rows.select(F.col("key").alias(key), "tokens.n_pretokens", "tokens.n_tokens")

@@ -77,6 +77,42 @@ def test_simhash_links_every_close_pair(spark):
     assert got == want
 
 
+def test_simhash_hot_halves(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(simhash_mih, "HOT", 3)
+    values = set()
+    for _ in range(4):
+        half = rng.getrandbits(32)
+        others = [rng.getrandbits(32) for _ in range(3)]
+        for _ in range(60):  # one half shared or nearly, the other near one of a few values
+            other = rng.choice(others)
+            for _ in range(rng.randrange(4)):
+                other ^= 1 << rng.randrange(32)
+            near = half ^ (1 << rng.randrange(32) if rng.random() < 0.4 else 0)
+            values.add(near | other << 32 if rng.random() < 0.5 else other | near << 32)
+    values = sorted({v - (1 << 64) if v >= 1 << 63 else v for v in values})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    for small in (simhash_mih.BROADCAST_HOT, 0):
+        monkeypatch.setattr(simhash_mih, "BROADCAST_HOT", small)
+        for bits in (1, 2, 3):
+            got = {(r.u, r.v) for r in simhash_mih.links(df, bits).distinct().collect()}
+            assert got == {(max(a, b), min(a, b)) for a in values for b in values if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= bits}
+
+
+def test_simhash_mutually_close_prints(spark):
+    # no more than 128 fingerprints are all within 3 bits of one another; here all within one bit of two neighbours
+    values = sorted({c ^ (1 << b if b < 63 else 0) for c in (0, 1) for b in range(64)})
+    links = simhash_mih.links(spark.createDataFrame([(v,) for v in values], "fp long")).distinct()
+    assert links.count() == len(values) * (len(values) - 1) // 2
+    assert simhash_mih.components(links).select("root").distinct().collect() == [(0,)]
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    rows = [(1, "a b c", 9, "x", "r"), (1, "a b c", 9, "x", "r"), (None, "a b c", 9, "y", "s"), (2, "other text", 8, "z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row int, __print string, root string").withColumn("row", F.col("__row"))
+    assert sorted(map(tuple, simhash_mih.keep_one(df).collect()), key=repr) == [(1, "a b c", 9, "x", "r", 9), (2, "other text", 8, "z", None, 8)]
+
+
 def test_simhash_repeated_and_null_keys(spark):
     rows = [(1, "a b c"), (1, "a b c"), (1, "quite another text here"), (None, "a b c"), (None, "only with null key"), (None, "only with null key"), (2, "a b c")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -92,6 +92,15 @@ def test_pii_equals_regexes(spark):
     assert pii.report(df.limit(0)).count() == 0
 
 
+def test_pii_keeps_clashing_columns(spark):
+    names = ["__m_email", "matches of email", "matches of email_", "Pieces of IP", "kept of ssn", "m"]
+    df = spark.createDataFrame([(1, "a@b.co 1.2.3.4", *"qrstuv")], ["doc_id", "text", *names])
+    got = pii.with_pii(df)
+    assert got.columns == [*df.columns, "pii"] and tuple(got.first())[:8] == tuple(df.first()) and len(got.first().pii) == 2
+    again = pii.with_pii(got.withColumn("pii", pii.F.lit("old")))
+    assert again.columns == got.columns and tuple(again.first()) == tuple(got.first())
+
+
 def test_pii_added_kinds_and_context(spark):
     texts = ["iban DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 01", "ssn 123-45-6789", "number 123-45-6789", "write to a@b.co", "x a@b.co"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
