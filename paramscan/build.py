@@ -54,7 +54,7 @@ def build(spark: SparkSession, folder: str, remote, entries: list[dict] | None =
     entries = build_entries(entries)
     tables, unmatched = matched_tables(files, entries) if entries else ({}, files)
     bare = unmatched.filter("checksum is null").select("path")
-    rest = classify_unmatched(unmatched, small_digests(bare, places[0]["url"], fetch)).orderBy("path")
+    rest = classify_unmatched(unmatched, small_digests(bare, places[0]["url"], None if fetch is http_get else fetch)).orderBy("path")
     for db, rows in tables.items():
         write_tsv(rows, os.path.join(folder, db), null="None")
     static, meta = [], []

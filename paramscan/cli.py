@@ -33,7 +33,8 @@ def parser() -> argparse.ArgumentParser:
     setting = sub.add_parser("set-config")
     setting.add_argument("--fmt")
     setting.add_argument("--encoding", action="append", default=[], metavar="NAME=REGEX")
-    setting.add_argument("--remote")
+    setting.add_argument("--remote", metavar="URL")
+    setting.add_argument("--remote-name")
     commit = sub.add_parser("commit")
     commit.add_argument("-m", "--message", required=True)
     commit.add_argument("--allow-empty", action="store_true")
@@ -42,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
     clone = sub.add_parser("clone")
     clone.add_argument("source")
     clone.add_argument("target")
+    clone.add_argument("--no-data", action="store_true", help="leave out contents that the store lacks")
+    clone.add_argument("--workers", type=int, default=4)
     down = sub.add_parser("download")
     down.add_argument("output")
     down.add_argument("path_names", nargs="*", metavar="PATH")
@@ -58,12 +61,27 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def run(args, spark, say=print) -> int:
+def prompt_choice(prompt: str, choices: set[str], ask=input) -> str:
+    """One of ``choices``, in letters of either case."""
+    answer = ask(prompt).strip().lower()
+    if answer not in choices:
+        raise ValueError(f"Unrecognized choice: {answer!r}")
+    return answer
+
+
+def confirmed(prompt: str, ask=input) -> bool:
+    try:
+        return prompt_choice(prompt, {"y", "yes", "n", "no", ""}, ask) in ("y", "yes")
+    except EOFError:
+        return False
+
+
+def run(args, spark, say=print, ask=input) -> int:
     if args.command == "init":
         Dataset.init(spark, args.path)
         return 0
     if args.command == "clone":
-        Dataset.clone(spark, args.source, args.target)
+        Dataset.clone(spark, args.source, args.target, not args.no_data, args.workers)
         return 0
     if args.command == "build":
         from .sources.tables import load_yaml
@@ -84,9 +102,9 @@ def run(args, spark, say=print) -> int:
         for name in found["names"]:
             say(("* " if name == found["current"] else "  ") + name)
     elif args.command == "add":
-        say(f"{data.add(args.fmt, args.encoding).count()} files")
+        say(f"{data.add(args.fmt, args.encoding, data.below()).count()} files")
     elif args.command == "set-config":
-        data.set_config(args.fmt, dict(e.split("=", 1) for e in args.encoding) or None, args.remote)
+        data.set_config(args.fmt, dict(e.split("=", 1) for e in args.encoding) or None, remote_name=args.remote_name, remote_url=args.remote)
     elif args.command == "commit":
         say("committed" if data.commit(args.message, args.allow_empty) else "nothing to commit")
     elif args.command == "checkout":
@@ -100,11 +118,14 @@ def run(args, spark, say=print) -> int:
         everything = args.all or not (args.path_names or args.tsv)
         chosen = gather(spark, data.root or data.store, data.config(), args.path_names, args.tsv, everything, data.data())
         count = chosen.count()
-        if args.dry_run or count >= BULK and not args.yes:
+        if args.dry_run:
             for r in chosen.limit(20).collect():
                 say(r.path)
-            say(f"{count} files" + ("" if args.dry_run else "; give --yes to download them"))
-            return 0 if args.dry_run else 1
+            say(f"{count} files")
+            return 0
+        if count >= BULK and not args.yes and not confirmed(f"{count} files, of unknown size. Continue? [y/N] ", ask):
+            say("nothing was downloaded")
+            return 1
         done = download(chosen, remote_url(data.config(), args.remote), args.output, args.workers).persist()
         summary = outcome_summary(done).first()
         say(f"{summary.succeeded} of {count} files, {summary.total_bytes} bytes")

@@ -48,6 +48,30 @@ def with_format(config: dict, fmt: str | None = None, encoding: dict | None = No
     return out
 
 
+def with_remote(config: dict, name: str | None = None, url: str | None = None) -> dict:
+    """A copy of ``config`` whose remote of that name has that URL; the others stay.
+
+    A single remote is changed as it is. Of several one must be named; a new
+    name adds one, if it has a URL.
+    """
+    known = config.get("remote")
+    given = {k: v.strip() for k, v in (("name", name), ("url", url)) if v is not None}
+    if not all(given.values()):
+        raise ValueError("a remote's name and URL must not be blank")
+    if known is None or isinstance(known, dict):
+        return {**config, "remote": {**(known or {}), **given}}
+    if not isinstance(known, list) or not all(isinstance(e, dict) for e in known):
+        raise ValueError(f"Invalid remote configuration: {known!r}")
+    if name is None and len(known) != 1:
+        raise ValueError("several remotes are configured: name one")
+    hits = [n for n, e in enumerate(known) if name is None or e.get("name") == given["name"]]
+    if hits:
+        return {**config, "remote": [{**e, **given} if n == hits[0] else e for n, e in enumerate(known)]}
+    if url is None:
+        raise ValueError(f"no remote named {name!r}")
+    return {**config, "remote": [*known, given]}
+
+
 def remotes(value) -> list[dict]:
     """A text, mapping or list of them as a list of mappings with ``url``; several need different names."""
     values = value if isinstance(value, list) else [value]

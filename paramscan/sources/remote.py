@@ -2,14 +2,17 @@
 
 A frontier of directories is fetched on the executors, at most ``workers`` at
 a time; what a level lists is a DataFrame written to the checkpoint folder,
-and directories seen before are left out by an anti-join. ``fetch`` functions
-take a URL and return bytes or None, so that tests need no network.
+and directories seen before are left out by an anti-join. Functions that speak
+to servers are parameters, so that tests need no network: ``fetch`` takes a URL
+and returns bytes or None, ``size`` the length that a server tells or None, and
+``chunks`` gives a body piece by piece or raises ``OSError``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pandas as pd
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.checksums import DIGITS, is_valid
 from ..functions.paths import is_safe_relative, manifest_path
 from ..plans.cut import checkpoint
+from .tables import atomic_path
 
 # How an index lists its entries, and how manifests list checksums.
 INDEX_ROW = r'<tr class="object (collection|data-object[^"]*)"><td class="name"><a href="([^"]+)"'
@@ -27,22 +31,65 @@ MANIFEST_WORDS = ("sum", "checksum", "hash", "manifest", *DIGITS)
 PLAUSIBLE = 0.5  # of a manifest's lines must be checksum lines
 TIMEOUT = (10, 30)
 SMALL = 10 * 1024 * 1024
+CHUNK = 1 << 20
 WORKERS = 8
 
 
+def http_session():
+    """One session serves a worker process."""
+    import requests
+
+    return http_session.__dict__.setdefault("session", requests.Session())
+
+
 def http_get(url: str) -> bytes | None:
-    """The body, or None if it cannot be had. One session serves a worker process."""
+    """The body, or None if it cannot be had."""
     import requests
 
-    session = http_get.__dict__.setdefault("session", requests.Session())
     try:
-        response = session.get(url, timeout=TIMEOUT)
+        response = http_session().get(url, timeout=TIMEOUT)
         response.raise_for_status()
         return response.content
     except requests.RequestException:
         return None
 
 
+def http_size(url: str) -> int | None:
+    """The length of a body by its header alone, or None if the server doesn't tell."""
+    import requests
+
+    try:
+        response = http_session().head(url, timeout=TIMEOUT, allow_redirects=True)
+        response.raise_for_status()
+        return int(response.headers["Content-Length"])
+    except (requests.RequestException, KeyError, ValueError):
+        return None
+
+
+def http_chunks(url: str) -> Iterator[bytes]:
+    """The body piece by piece."""
+    import requests
+
+    try:
+        with http_session().get(url, timeout=TIMEOUT, stream=True) as response:
+            response.raise_for_status()
+            yield from response.iter_content(CHUNK)
+    except requests.RequestException as e:
+        raise OSError(f"cannot be fetched: {e}") from e
+
+
+def chunks_by(fetch) -> Callable[[str], Iterator[bytes]]:
+    """``chunks`` of a function that has whole bodies."""
+
+    def chunks(url: str) -> Iterator[bytes]:
+        body = fetch(url)
+        if body is None:
+            raise OSError("cannot be fetched")
+        yield from (body[at : at + CHUNK] for at in range(0, len(body), CHUNK))
+
+    return chunks
+
+
 def fetched(urls: DataFrame, fetch=http_get, workers: int = WORKERS, required: bool = False) -> DataFrame:
     """Add ``body`` (binary) to rows with ``url``; at most ``workers`` requests run at once."""
     out = urls.schema.add("body", "binary")
@@ -99,7 +146,11 @@ def plausible(texts: DataFrame) -> DataFrame:
 
 
 def crawl(spark: SparkSession, base_url: str, fetch=http_get, max_levels: int = 200) -> DataFrame:
-    """``(path, algorithm, checksum)`` of every file below an index; null where no manifest names it. Later manifests win."""
+    """``(path, algorithm, checksum)`` of every file below an index; null where no manifest names it. Later manifests win.
+
+    An index deeper than ``max_levels`` is an error, since one that leads back
+    into itself would never end.
+    """
     base = base_url.rstrip("/") + "/"
     frontier = spark.createDataFrame([("",)], "rel_dir string")
     seen, files = frontier, None
@@ -114,6 +165,8 @@ def crawl(spark: SparkSession, base_url: str, fetch=http_get, max_levels: int =
         if frontier.isEmpty():
             break
         seen = checkpoint(seen.union(frontier))
+    else:
+        raise OSError(f"{base} has more than {max_levels} levels of directories")
     files = checkpoint(files.distinct())
     named = files.filter(is_manifest(F.col("path"))).withColumn("url", url(F.col("path")))
     texts = fetched(named, fetch).filter("body is not null")
@@ -127,40 +180,69 @@ def crawl(spark: SparkSession, base_url: str, fetch=http_get, max_levels: int =
     return files.select("path").join(best, "path", "left").select("path", "s.algorithm", "s.checksum")
 
 
-def small_digests(paths: DataFrame, base_url: str, fetch=http_get) -> DataFrame:
-    """``(path, algorithm, checksum)``: md5 of files of at most ``SMALL`` bytes, else ``unknown``."""
+def small_digests(paths: DataFrame, base_url: str, fetch=None, size=None, chunks=None) -> DataFrame:
+    """``(path, algorithm, checksum)``: md5 of files of at most ``SMALL`` bytes, else ``unknown``.
+
+    The server is asked for a file's size first; without an answer, or with one
+    above the limit, nothing is fetched, and a body that is longer than told is
+    left at the limit.
+    """
     base = base_url.rstrip("/") + "/"
+    size = size or (http_size if fetch is None else lambda url: None if (body := fetch(url)) is None else len(body))
+    chunks = chunks or (http_chunks if fetch is None else chunks_by(fetch))
+
+    def digest(url: str) -> str | None:
+        told = size(url)
+        if told is None or told > SMALL:
+            return None
+        found, length = hashlib.md5(), 0
+        try:
+            for piece in chunks(url):
+                length += len(piece)
+                if length > SMALL:
+                    return None
+                found.update(piece)
+        except OSError:
+            return None
+        return found.hexdigest()
 
     def run(batches):
         for pdf in batches:
-            bodies = [fetch(base + quote(p)) for p in pdf["path"]]
-            ok = [b is not None and len(b) <= SMALL for b in bodies]
-            yield pd.DataFrame({"path": pdf["path"], "algorithm": ["md5" if k else "unknown" for k in ok], "checksum": [hashlib.md5(b).hexdigest() if k else "unknown" for b, k in zip(bodies, ok)]})
+            found = [digest(base + quote(p)) for p in pdf["path"]]
+            yield pd.DataFrame({"path": pdf["path"], "algorithm": ["unknown" if d is None else "md5" for d in found], "checksum": [d or "unknown" for d in found]})
 
     return paths.select("path").distinct().repartition(WORKERS).mapInPandas(run, "path string, algorithm string, checksum string")
 
 
-def download(selection: DataFrame, base_url: str, folder: str, workers: int = 4, fetch=http_get) -> DataFrame:
+def download(selection: DataFrame, base_url: str, folder: str, workers: int = 4, fetch=None, chunks=None) -> DataFrame:
     """Fetch ``(ord, path, algorithm, checksum)`` below ``folder``, a directory all workers see; ``(ord, path, ok, bytes, error)``.
 
-    A file appears whole and verified or not at all.
+    A file appears whole and verified or not at all: its pieces go to a
+    temporary file of its own, so that a task that runs twice disturbs nothing,
+    and never more than one piece is in memory.
     """
     if workers < 1:
         raise ValueError("workers must be positive")
     base = base_url.rstrip("/") + "/"
+    chunks = chunks or (http_chunks if fetch is None else chunks_by(fetch))
 
     def one(path, algorithm, checksum):
-        body = fetch(base + quote(path))
-        if body is None:
-            return False, 0, "cannot be fetched"
-        if checksum and hashlib.new(algorithm, body).hexdigest() != checksum.lower():
-            return False, 0, f"{algorithm} differs"
-        target = os.path.join(folder, path)
+        target, length = os.path.join(folder, path), 0
+        found = hashlib.new(algorithm) if checksum else None
         os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target + ".part", "wb") as f:
-            f.write(body)
-        os.replace(target + ".part", target)
-        return True, len(body), None
+        try:
+            with atomic_path(target) as temp:
+                with open(temp, "wb") as f:
+                    for piece in chunks(base + quote(path)):
+                        f.write(piece)
+                        length += len(piece)
+                        if found:
+                            found.update(piece)
+                if found and found.hexdigest() != checksum.lower():
+                    raise OSError(f"{algorithm} differs")
+        except OSError as e:
+            return False, 0, str(e)
+        return True, length, None
 
     def run(batches):
         for pdf in batches:

@@ -2,8 +2,9 @@
 
 A dataset directory holds a store: snapshots of configuration and manifest by
 commit, branch references, and file contents by digest. What changed, what is
-missing and what must move is planned with DataFrames; files are moved on the
-driver, with a journal that undoes a checkout that fails.
+missing and what must move is planned with DataFrames. Contents are copied into
+and out of the store on the executors, which share its directory; only a
+checkout, whose journal undoes it if it fails, moves files on the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import re
 import shutil
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as configuration
@@ -30,6 +32,7 @@ from .sources.tables import atomic_path, dump_yaml, load_yaml, read_tsv, write_t
 
 PARTS = ("config.yml", "meta.yml", "data.tsv")
 SHOWN_ERRORS = 5
+CHUNK = 1 << 20
 
 
 def branch_name(name: str) -> str:
@@ -51,6 +54,42 @@ def contained(root: str, path: str) -> str:
     return full
 
 
+def copy_verified(source: str, target: str, sha1: str) -> None:
+    """A copy that appears whole, with the content of that digest, or not at all."""
+    if not os.path.isfile(source):
+        raise FileNotFoundError(f"{source} is not there")
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    found = hashlib.sha1()
+    with atomic_path(target) as temp:
+        with open(source, "rb") as a, open(temp, "wb") as b:
+            while piece := a.read(CHUNK):
+                found.update(piece)
+                b.write(piece)
+        if found.hexdigest() != sha1.lower():
+            raise StoreError(f"{source} does not have the digest {sha1}")
+
+
+def transfer(rows: DataFrame) -> int:
+    """Copy files ``(source, target, sha1)`` on the executors; how many. Targets that are there stay if ``sha1`` names them."""
+
+    def run(batches):
+        for pdf in batches:
+            errors = []
+            for source, target, sha1 in zip(pdf["source"], pdf["target"], pdf["sha1"]):
+                try:
+                    copy_verified(source, target, sha1)
+                    errors.append(None)
+                except (OSError, StoreError) as e:
+                    errors.append(str(e))
+            yield pd.DataFrame({"target": pdf["target"], "error": errors}, dtype=object)
+
+    done = rows.mapInPandas(run, "target string, error string")
+    outcome = done.agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("error")), 1, SHOWN_ERRORS).alias("shown"), F.count("error").alias("failed")).first()
+    if outcome.failed:
+        raise StoreError(f"{outcome.failed} files could not be copied: " + "; ".join(outcome.shown))
+    return outcome.n
+
+
 class Dataset:
     """A directory of files and its store (``DIR/.hm``; a path that ends in ``.hm`` is a store without files)."""
 
@@ -80,8 +119,12 @@ class Dataset:
         return out
 
     @classmethod
-    def clone(cls, spark: SparkSession, source: str, path: str) -> Dataset:
-        """Copy a store and install its current branch; nothing is left behind on failure."""
+    def clone(cls, spark: SparkSession, source: str, path: str, fetch_data: bool = True, workers: int = 4, fetch=None) -> Dataset:
+        """Copy a store and install its current branch; nothing is left behind on failure.
+
+        Contents that the store lacks are downloaded from the configured remote;
+        without ``fetch_data`` they are left out.
+        """
         origin = cls(spark, source)
         if os.path.exists(path) and os.listdir(path):
             raise DestinationExistsError(f"{path} is there already")
@@ -94,9 +137,13 @@ class Dataset:
                 if not os.path.isfile(os.path.join(home, "staged", part)):
                     raise CloneError(f"{source} has no {part}")
             if out.root:
-                head = out.entries_at(out.revision(out.branch))
-                for r in head.toLocalIterator():
-                    out._restore(r.sha1, contained(out.root, r.path))
+                head = out.entries_at(out.revision(out.branch)).persist()
+                here = out.objects()
+                out._install(head.join(here, "sha1", "left_semi"))
+                lost = head.join(here, "sha1", "left_anti")
+                if fetch_data and not lost.isEmpty():
+                    out._download(lost, workers, fetch)
+                head.unpersist()
             return out
         except Exception as e:
             shutil.rmtree(path if made else home, ignore_errors=True)
@@ -159,40 +206,63 @@ class Dataset:
             raise ValueError(f"not a sha1: {sha1!r}")
         return os.path.join(self.store, "objects", sha1[:2], sha1[2:])
 
-    def _keep(self, path: str, sha1: str) -> None:
-        """Store a file's content, which must have that digest."""
-        target = self._object(sha1)
-        if file_digest(path) != sha1.lower():
-            raise StoreError(f"{path} changed after it was added")
-        if not os.path.exists(target):
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with atomic_path(target) as temp:
-                shutil.copyfile(path, temp)
+    def _object_path(self, sha1: Column) -> Column:
+        return F.concat(F.lit(os.path.join(self.store, "objects") + "/"), F.substring(sha1, 1, 2), F.lit("/"), F.substring(sha1, 3, 38))
+
+    def _keep(self, files: DataFrame) -> int:
+        """Store contents of files ``(source, sha1)``, each digest once; a file must have its digest."""
+        rows = files.select(F.col("source"), F.lower(F.trim("sha1")).alias("sha1")).groupBy("sha1").agg(F.min("source").alias("source"))
+        return transfer(rows.join(self.objects(), "sha1", "left_anti").select("source", self._object_path(F.col("sha1")).alias("target"), "sha1"))
+
+    def _install(self, entries: DataFrame) -> int:
+        """Restore ``(path, sha1)`` into the directory, which must lead through no symbolic link."""
+        for r in entries.select(F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1).alias("folder")).distinct().toLocalIterator():
+            contained(self.root, f"{r.folder}/x" if r.folder else "x")
+        rows = entries.select(F.lower(F.trim("sha1")).alias("sha1"), "path")
+        return transfer(rows.select(self._object_path(F.col("sha1")).alias("source"), F.concat(F.lit(self.root + "/"), "path").alias("target"), "sha1"))
+
+    def _download(self, entries: DataFrame, workers: int, fetch=None) -> None:
+        from .operators.select import outcome_summary
+        from .sources.remote import download
+
+        rows = entries.select(F.xxhash64("path").alias("ord"), "path", F.lit("sha1").alias("algorithm"), F.col("sha1").alias("checksum"))
+        done = outcome_summary(download(rows, configuration.remote_url(self.config()), self.root, workers, fetch)).first()
+        if done.failed:
+            raise StoreError(f"{done.failed} files could not be downloaded:\n{done.errors}")
 
     def _restore(self, sha1: str, path: str) -> None:
         source = self._object(sha1)
         if not os.path.exists(source):
             raise FileNotFoundError(f"object {sha1} is not in the store")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with atomic_path(path) as temp:
-            shutil.copyfile(source, temp)
-            if file_digest(temp) != sha1.lower():
-                raise StoreError(f"object {sha1} is damaged")
+        copy_verified(source, path, sha1)
 
     def fetch_missing(self, origin: str, commit: str | None = None) -> int:
         """Copy objects that a commit (or the staged manifest) needs from another store on this machine; how many."""
         other = Dataset(self.spark, origin)
         lost = diff.missing_objects(self.entries_at(commit), self.objects())
-        count = 0
-        for r in lost.join(other.objects(), "sha1", "left_semi").toLocalIterator():
-            self._keep(other._object(r.sha1), r.sha1)
-            count += 1
-        return count
+        found = lost.join(other.objects(), "sha1", "left_semi")
+        return self._keep(found.select(other._object_path(F.col("sha1")).alias("source"), "sha1"))
 
     # --- adding and committing
 
-    def set_config(self, fmt: str | None = None, encoding: dict | None = None, remote=None) -> None:
-        self._stage(configuration.with_format(self.config(), fmt, encoding, remote), self.meta(), self.data())
+    def set_config(self, fmt: str | None = None, encoding: dict | None = None, remote=None, remote_name: str | None = None, remote_url: str | None = None) -> dict:
+        """Set what is given: ``remote`` replaces all remotes, ``remote_name`` and ``remote_url`` change one."""
+        config = configuration.with_format(self.config(), fmt, encoding, remote)
+        if remote_name is not None or remote_url is not None:
+            config = configuration.with_remote(config, remote_name, remote_url)
+        self._stage(config, self.meta(), self.data())
+        return config
+
+    def add_paths(self, paths) -> None:
+        """Single files can't be added: a manifest row is a digest and the fields of a format."""
+        raise RuntimeError("explicit path add is not supported: a manifest holds digests and format fields only")
+
+    def below(self) -> str:
+        """The working directory relative to the dataset's, if it is inside of it; else the dataset's own."""
+        if self.root is None:
+            raise RuntimeError("a store without files has no directory to look into")
+        here = os.path.relpath(os.path.realpath(os.getcwd()), os.path.realpath(self.root))
+        return "" if here == "." or here.split(os.sep)[0] == ".." else here.replace(os.sep, "/")
 
     def add(self, fmt: str, encoding: bool = False, below: str = "") -> DataFrame:
         """Index the files of a format. ``"."`` scans again with the known format, below ``below``, and replaces; a format seen before upserts."""
@@ -235,8 +305,8 @@ class Dataset:
             before = self.entries_at(head) if head else staged.limit(0)
             if head and configuration.single_format(self.config(head)) != configuration.single_format(self.config()):
                 before = before.limit(0)
-            for r in diff.files_to_store(staged, before, self.objects()).orderBy("path").toLocalIterator():
-                self._keep(contained(self.root, r.path), r.sha1)
+            changed = diff.files_to_store(staged, before, self.objects())
+            self._keep(changed.select(F.concat(F.lit(self.root + "/"), "path").alias("source"), "sha1"))
         stamp = time.time()
         number = hashlib.sha1(b"\0".join([self._bytes(None, p) for p in PARTS] + [str(head).encode(), message.encode(), str(stamp).encode()])).hexdigest()
         shutil.copytree(self._folder(None), self._folder(number))
@@ -378,8 +448,7 @@ class Dataset:
                     f.write(text)
             out = Dataset(self.spark, path)
             out._copy_stage(out.revision(branch))
-            for r in out.entries_at(None).toLocalIterator():
-                out._restore(r.sha1, contained(path, r.path))
+            out._install(out.entries_at(None))
             return out
         except Exception:
             shutil.rmtree(path, ignore_errors=True)

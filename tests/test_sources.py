@@ -1,13 +1,18 @@
+import hashlib
+import http.server
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from paramscan import build, cli
-from paramscan.errors import SelectionError
+from paramscan import config as configuration
+from paramscan.errors import CloneError, SelectionError
 from paramscan.functions import checksums, paths, values
 from paramscan.operators import manifest, select
 from paramscan.sources import remote, tables
+from paramscan.store import Dataset
 from paramscan.streaming import upsert
 
 MD5 = "a" * 32
@@ -66,6 +71,118 @@ def test_download(spark, tmp_path):
     assert (tmp_path / "README.md").read_text() == "read me" and sorted(os.listdir(tmp_path)) == ["README.md", "proj"] or sorted(os.listdir(tmp_path)) == ["README.md"]
 
 
+def site_size(told):
+    return lambda url: told.get(url.rsplit("/", 1)[-1])
+
+
+def test_small_digests_ask_for_the_size_first(spark, tmp_path):
+    asked = str(tmp_path)
+
+    def chunks(url):
+        open(os.path.join(asked, url.rsplit("/", 1)[-1]), "w").close()
+        yield b"abc"
+        yield b"d" * (remote.SMALL if url.endswith("liar") else 1)
+
+    paths = spark.createDataFrame([("small",), ("huge",), ("untold",), ("liar",)], "path string")
+    got = {r.path: (r.algorithm, r.checksum) for r in remote.small_digests(paths, "http://h", size=site_size({"small": 4, "huge": 5 << 30, "liar": 7}), chunks=chunks).collect()}
+    assert got == {"small": ("md5", hashlib.md5(b"abcd").hexdigest()), "huge": ("unknown", "unknown"), "untold": ("unknown", "unknown"), "liar": ("unknown", "unknown")}
+    assert sorted(os.listdir(asked)) == ["liar", "small"]  # the others were never fetched
+
+
+def test_download_in_pieces(spark, tmp_path):
+    body = b"x" * 100_000
+
+    def chunks(url):
+        for at in range(0, len(body), 1000):
+            if url.endswith("broken") and at > 50_000:
+                raise OSError("connection lost")
+            yield body[at : at + 1000]
+
+    good = hashlib.sha256(body).hexdigest()
+    rows = [(1, "d/a", "sha256", good), (2, "d/broken", None, None), (3, "d/wrong", "sha256", "0" * 64), (4, "d/a", "sha256", good)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "wrong").write_text("old")
+    done = remote.download(spark.createDataFrame(rows, "ord long, path string, algorithm string, checksum string"), "http://h", str(tmp_path), 3, chunks=chunks)
+    got = {r.ord: (r.ok, r.bytes, r.error) for r in done.collect()}
+    assert got == {1: (True, 100_000, None), 4: (True, 100_000, None), 2: (False, 0, "connection lost"), 3: (False, 0, "sha256 differs")}
+    assert sorted(os.listdir(tmp_path / "d")) == ["a", "wrong"] and (tmp_path / "d" / "wrong").read_text() == "old"
+
+
+def test_endless_index(spark):
+    body = page("more/").encode()
+    endless = lambda url: body
+    with pytest.raises(OSError, match="more than 3 levels"):
+        remote.crawl(spark, "http://h", endless, max_levels=3)
+
+
+class Handler(http.server.BaseHTTPRequestHandler):
+    def do_HEAD(self):
+        self.send_response(404 if "gone" in self.path else 200)
+        if "untold" not in self.path:
+            self.send_header("Content-Length", "5")
+        self.end_headers()
+
+    def do_GET(self):
+        self.do_HEAD()
+        if "gone" not in self.path:
+            self.wfile.write(b"hello")
+
+    def log_message(self, *args):
+        pass
+
+
+def test_http_functions():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        assert remote.http_get(base + "a") == b"hello" and remote.http_get(base + "gone") is None
+        assert [remote.http_size(base + x) for x in ("a", "untold", "gone")] == [5, None, None]
+        assert b"".join(remote.http_chunks(base + "a")) == b"hello"
+        with pytest.raises(OSError):
+            list(remote.http_chunks(base + "gone"))
+    finally:
+        server.shutdown()
+    assert remote.http_get(base + "a") is None
+
+
+def test_sql_functions(spark):
+    from paramscan.functions import registry
+
+    registry.register(spark)
+    rows = [("a{a}_i{i:03d}.h5", "a0.75_i030.h5"), ("{x}.{y}", "it's.b"), ("{x}.{y}", "none"), (None, "a"), ("{x}", None)]
+    spark.createDataFrame(rows, "fmt string, path string").createOrReplaceTempView("formatted")
+    got = spark.sql("SELECT path, fmt_match(fmt, path) AS m, fmt_render(fmt, fmt_match(fmt, path)) AS again FROM formatted").collect()
+    assert [(r.m, r.again) for r in got] == [({"a": "0.75", "i": "030"}, "a0.75_i030.h5"), ({"x": "it's", "y": "b"}, "it's.b"), (None, None), (None, None), (None, None)]
+    registry.register_format(spark, "run", "it's/a{a:f}_{i:03d}-{name}.h5")
+    found = spark.sql(r"SELECT run_match(p) AS m, run_render(run_match(p).a, run_match(p).i, run_match(p).name) AS again FROM VALUES ('it\'s/a0.750000_030-x.h5'), ('no') AS t(p)")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(tuple(r.m) if r.m else None, r.again) for r in found.collect()] == [((0.75, 30, "x"), "it's/a0.750000_030-x.h5"), (None, None)]
+
+
+@pytest.mark.parametrize(
+    "known, given, expected",
+    [
+        (None, ("origin", None), {"name": "origin"}),
+        ({"name": "origin"}, (None, "http://x"), {"name": "origin", "url": "http://x"}),
+        ([{"name": "a", "url": "1"}, {"name": "b", "url": "2"}], ("b", "3"), [{"name": "a", "url": "1"}, {"name": "b", "url": "3"}]),
+        ([{"name": "a", "url": "1"}], (None, "3"), [{"name": "a", "url": "3"}]),
+        ([{"name": "a", "url": "1"}], ("b", "2"), [{"name": "a", "url": "1"}, {"name": "b", "url": "2"}]),
+        ([{"name": "a"}, {"name": "b"}], (None, "3"), ValueError),
+        ([{"name": "a"}, {"name": "b"}], ("c", None), ValueError),
+        ("text", (None, "3"), ValueError),
+        (None, (" ", None), ValueError),
+    ],
+)
+def test_remote_by_name(known, given, expected):
+    config = {"data": [], "remote": known}
+    if expected is ValueError:
+        with pytest.raises(ValueError):
+            configuration.with_remote(config, *given)
+    else:
+        assert configuration.with_remote(config, *given) == {"data": [], "remote": expected} and config["remote"] == known
+
+
 @pytest.mark.parametrize(
     "name, folder, expected",
     [("data.tgz", "root/project/", "root/project/data.tgz"), ("project/data.tgz", "root/project/", "root/project/data.tgz"), ("root/project/data.tgz", "root/project/", "root/project/data.tgz"), ("./other/data.tgz", "root/project/", "other/data.tgz")],
@@ -157,3 +274,56 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("init") == 0 and run("add", "a{n}.dat") == 0 and run("commit", "-m", "one") == 0 and run("status") == 0 and run("log") == 0
     assert run("set-config", "--remote", "http://h") == 0 and run("info") == 0 and run("branch") == 0 and run("download", str(tmp_path / "o"), "--dry-run") == 0
     assert "* main" in capsys.readouterr().out
+
+
+def test_command_line_in_a_nested_directory(spark, tmp_path, monkeypatch):
+    for folder in ("nested", "nested-other"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "data_1.txt").write_text(folder)
+    run = lambda *a: cli.run(cli.parser().parse_args(["-C", str(tmp_path), *a]), spark)
+    assert run("init") == 0 and run("set-config", "--fmt", "{folder}/data_{number}.txt", "--remote", "http://h", "--remote-name", "origin") == 0
+    monkeypatch.chdir(tmp_path / "nested")
+    assert run("add", ".") == 0
+    data = Dataset(spark, str(tmp_path))
+    assert [(r.folder, r.number) for r in data.data().collect()] == [("nested", "1")] and data.config()["remote"] == {"name": "origin", "url": "http://h"}
+    monkeypatch.chdir("/")
+    assert data.below() == ""
+    with pytest.raises(RuntimeError):
+        data.add_paths(["x"])
+
+
+def test_bulk_downloads_are_confirmed(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"a{n}.dat").write_text("x")
+    run = lambda *a, ask=input: cli.run(cli.parser().parse_args(["-C", str(tmp_path), *a]), spark, lambda *x: None, ask)
+    assert run("init") == 0 and run("add", "a{n}.dat") == 0 and run("commit", "-m", "one") == 0
+    said = []
+    cli.BULK, old = 2, cli.BULK
+    try:
+        assert run("download", str(tmp_path / "o"), ask=lambda prompt: said.append(prompt) or "n") == 1 and said
+    finally:
+        cli.BULK = old
+    assert cli.confirmed("?", lambda p: " YES ") and not cli.confirmed("?", lambda p: "")
+    with pytest.raises(ValueError):
+        cli.prompt_choice("?", {"a"}, lambda p: "b")
+
+
+def test_clone_downloads_what_the_store_lacks(spark, tmp_path):
+    home = tmp_path / "one"
+    home.mkdir()
+    (home / "a1.dat").write_text("first")
+    (home / "a2.dat").write_text("second")
+    data = Dataset.init(spark, str(home))
+    data.add("a{n}.dat")
+    data.set_config(remote="http://h/data")
+    data.commit("files")
+    sha1 = hashlib.sha1(b"second").hexdigest()
+    os.unlink(home / ".hm" / "objects" / sha1[:2] / sha1[2:])
+    bodies = {"http://h/data/a2.dat": b"second"}
+    Dataset.clone(spark, str(home), str(tmp_path / "two"), fetch=bodies.get)
+    assert {p.name: p.read_text() for p in (tmp_path / "two").glob("*.dat")} == {"a1.dat": "first", "a2.dat": "second"}
+    Dataset.clone(spark, str(home), str(tmp_path / "three"), fetch_data=False)
+    assert [p.name for p in (tmp_path / "three").glob("*.dat")] == ["a1.dat"]
+    with pytest.raises(CloneError):
+        Dataset.clone(spark, str(home), str(tmp_path / "four"), fetch={}.get)
+    assert not (tmp_path / "four").exists()
