@@ -101,10 +101,12 @@ def filter_range(spark, sf_dir):
     return found[(F.col("l_quantity") >= 10) & (F.col("l_quantity") <= 12)].df.select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("SELECT c_custkey FROM customer WHERE false")
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 OR c_name = 'Customer#000000007' OR c_acctbal = 0")
 def filter_strict_types(spark, sf_dir):
-    """A text is never equal to a number, as in the decoded tables."""
-    return values.any_filter(table(spark, sf_dir, "customer"), c_name=1, c_custkey="1").select("c_custkey")
+    """A text is never equal to a number, as in the decoded tables: only the values of a column's own type find rows."""
+    rows = table(spark, sf_dir, "customer")
+    found = values.any_filter(rows, c_custkey=["1", "2"], c_nationkey=[3, "4"], c_name=["Customer#000000007", 1], c_acctbal=[0, "0.0"])
+    return found.select("c_custkey")
 
 
 @query(f"SELECT DISTINCT sha1({SHIPMENT_SQL}) AS sha1, l_returnflag AS returnflag, l_linestatus AS linestatus, strftime(l_shipdate, '%Y%m%d') AS date, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem")
@@ -121,10 +123,10 @@ def safe_text(spark, sf_dir):
     return rows.select(values.safe_text(F.col("o_orderkey"), rows.schema["o_orderkey"].dataType).alias("k"), values.safe_text(F.col("o_totalprice"), rows.schema["o_totalprice"].dataType).alias("price"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, sha1(CAST(arg_max(value, event_id) AS VARCHAR)) IS NOT NULL AS found, max(event_id) AS seq FROM events GROUP BY user_id, event_type")
+@query("SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, sha1(event_type || CAST(max(event_id) AS VARCHAR)) AS sha1, max(event_id) AS seq FROM events GROUP BY user_id, event_type")
 def keep_last(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.sha1(F.col("value").cast("string")).alias("sha1"), F.col("user_id").cast("string").alias("user_id"), "event_type")
-    return manifest.keep_last(rows, ["user_id", "event_type"], "seq").select("user_id", "event_type", F.col("sha1").isNotNull().alias("found"), "seq")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.sha1(F.concat("event_type", F.col("event_id").cast("string"))).alias("sha1"), F.col("user_id").cast("string").alias("user_id"), "event_type")
+    return manifest.keep_last(rows, ["user_id", "event_type"], "seq").select("user_id", "event_type", "sha1", "seq")
 
 
 @query("""
@@ -184,10 +186,14 @@ def missing_objects(spark, sf_dir):
     return diff.missing_objects(needed, table(spark, sf_dir, "part").filter("p_size > 10").select(F.sha1(F.col("p_partkey").cast("string")).alias("sha1")))
 
 
-@query("SELECT CASE WHEN doc_id % 9 = 0 THEN 'deleted' ELSE 'modified' END AS label, CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 9 = 0 OR doc_id % 4 = 0")
+@query("""
+WITH e AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha1(coalesce(text, '')) AS sha1 FROM documents),
+a AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha1(CASE WHEN n_chars % 4 = 0 THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END) AS sha1 FROM documents WHERE n_chars % 9 <> 0)
+SELECT CASE WHEN a.path IS NULL THEN 'deleted' ELSE 'modified' END AS label, e.path FROM e LEFT JOIN a USING (path) WHERE a.path IS NULL OR a.sha1 <> e.sha1""")
 def worktree_changes(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").cast("string").alias("path"))
-    actual = rows.filter("doc_id % 9 != 0").select("path", F.sha1(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha1"))
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("n_chars", text.alias("text"), F.col("doc_id").cast("string").alias("path"))
+    actual = rows.filter("n_chars % 9 != 0").select("path", F.sha1(F.when(F.col("n_chars") % 4 == 0, F.upper("text")).otherwise(F.col("text"))).alias("sha1"))
     return diff.worktree_changes(rows.select("path", F.upper(F.sha1("text")).alias("sha1")), actual)
 
 
@@ -288,9 +294,16 @@ def match_formats_theta(spark, sf_dir):
     return _format_hits(spark, sf_dir)
 
 
-@query(f"SELECT url, f, lit FROM ({MATCH_SQL}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY lit DESC, f) = 1")
+PLAIN = ["https://{host}.example.net/{section}/{page}", "http://{host}.example.{top}/{section}/{page}"]
+
+
+@query(r"""
+SELECT DISTINCT url AS path, CASE WHEN regexp_full_match(url, '(?is)https://[^/.]+\.example\.net/[^/]+/[^/]+') THEN 0 WHEN regexp_full_match(url, '(?is)http://[^/.]+\.example\.[^/.]+/[^/]+/[^/]+') THEN 1 END AS format
+FROM pages WHERE regexp_full_match(url, 'https?://[a-z]+\.example\.(net|com|org)/[a-z]+/[0-9]+') AND (url LIKE 'http:%' OR url LIKE '%.net/%')""".replace("\\\\", "\\"))
 def best_format(spark, sf_dir):
-    return _format_hits(spark, sf_dir).groupBy("url").agg(F.max_by(F.struct("f", "lit"), F.struct("lit", -F.col("f"))).alias("b")).select("url", "b.f", "b.lit")
+    """The best of competing formats, by the library's matcher."""
+    urls = table(spark, sf_dir, "pages").select(F.col("url").alias("path")).filter(F.col("path").rlike(r"^https?://[a-z]+\.example\.(net|com|org)/[a-z]+/[0-9]+$"))
+    return match.match_formats(urls.filter(F.col("path").startswith("http:") | F.col("path").contains(".net/")), PLAIN).select("path", "format")
 
 
 @query("SELECT page_id, CAST(length(r) - length(replace(r, '/', '')) AS INTEGER) AS leaks FROM (SELECT page_id, regexp_extract(url, '(?s)^https://(.+?)/(.+?)$', 2) AS r FROM pages WHERE url LIKE 'https://%/%')")
@@ -339,11 +352,14 @@ def digest_sha512(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", checksums.digest(F.col("text").cast("binary"), "sha512").alias("sha512"))
 
 
-@query("""
-SELECT doc_id, doc_id % 3 <> 2 AS valid FROM documents""")
+CHECKSUMS = "SELECT doc_id, CASE WHEN n_chars % 3 = 1 THEN 'sha1' WHEN n_chars % 7 = 0 THEN 'SHA256' ELSE 'md5' END AS algorithm, CASE n_chars % 5 WHEN 0 THEN md5(text) WHEN 1 THEN sha1(text) WHEN 2 THEN upper(md5(text)) WHEN 3 THEN md5(text) || 'g' ELSE substr(text, 1, 32) END AS value FROM documents"
+
+
+@query(f"SELECT doc_id, coalesce(regexp_full_match(value, '[0-9a-fA-F]+') AND length(value) = CASE lower(algorithm) WHEN 'md5' THEN 32 WHEN 'sha1' THEN 40 WHEN 'sha256' THEN 64 END, false) AS valid FROM ({CHECKSUMS})")
 def valid_checksum(spark, sf_dir):
-    value = F.when(F.col("doc_id") % 3 == 0, F.md5("text")).when(F.col("doc_id") % 3 == 1, F.sha1("text")).otherwise(F.concat(F.md5("text"), F.lit("g")))
-    algorithm = F.when(F.col("doc_id") % 3 == 1, "sha1").otherwise("md5")
+    k = F.col("n_chars") % 5
+    value = F.when(k == 0, F.md5("text")).when(k == 1, F.sha1("text")).when(k == 2, F.upper(F.md5("text"))).when(k == 3, F.concat(F.md5("text"), F.lit("g"))).otherwise(F.substring("text", 1, 32))
+    algorithm = F.when(F.col("n_chars") % 3 == 1, "sha1").when(F.col("n_chars") % 7 == 0, "SHA256").otherwise("md5")
     return table(spark, sf_dir, "documents").select("doc_id", checksums.is_valid(algorithm, value).alias("valid"))
 
 
@@ -357,14 +373,19 @@ def strongest_checksum(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", best.alias("b")).select("doc_id", "b.algorithm", "b.checksum")
 
 
-@query("""
-SELECT source, name, checksum FROM (SELECT source, 'doc_' || doc_id AS name, md5(text) AS checksum, doc_id FROM documents) WHERE doc_id % 10 <> 0""")
+LINES = "SELECT source, doc_id, CASE n_chars % 5 WHEN 0 THEN 'not a checksum line ' || doc_id WHEN 1 THEN md5(text) || '  *doc_' || doc_id WHEN 2 THEN upper(md5(text)) || ' doc ' || doc_id || '  ' WHEN 3 THEN sha1(text) || '  doc_' || doc_id ELSE substr(md5(text), 1, 8) || ' short_' || doc_id END AS line FROM documents"
+
+
+@query(f"""
+SELECT source, regexp_extract(line, '^([0-9a-fA-F]{{8,}})\\s+\\*?(.+?)\\s*$', 2) AS name, regexp_extract(line, '^([0-9a-fA-F]{{8,}})\\s+\\*?(.+?)\\s*$', 1) AS checksum
+FROM ({LINES}) WHERE regexp_matches(line, '^[0-9a-fA-F]{{8,}}\\s+\\*?.+') AND length(regexp_extract(line, '^[0-9a-fA-F]+')) = 32""")
 def manifest_text_scan(spark, sf_dir):
-    """Checksum manifests written as texts, one a source, scanned line by line."""
+    """Checksum manifests written as texts, one a source, scanned line by line: only lines with a digest as long as the algorithm's count."""
     from .sources.remote import manifest_lines
 
-    line = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("not a checksum line "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.md5("text"), F.lit("  *doc_"), F.col("doc_id").cast("string")))
-    texts = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    table(spark, sf_dir, "documents").createOrReplaceTempView("paramscan_documents")
+    lines = spark.sql(LINES.replace("FROM documents", "FROM paramscan_documents"))
+    texts = lines.groupBy("source").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
     return manifest_lines(texts.withColumn("algorithm", F.lit("md5"))).select("source", "name", "checksum")
 
 
@@ -505,3 +526,7 @@ def nlargest(spark, sf_dir):
 @query("SELECT o_orderkey, upper(o_orderpriority) AS u, contains(o_orderpriority, 'HIGH') AS high, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, abs(o_totalprice - 100000) AS off FROM orders")
 def scalar_surface(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.upper("o_orderpriority").alias("u"), F.col("o_orderpriority").contains("HIGH").alias("high"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.abs(F.col("o_totalprice") - 100000).alias("off"))
+
+
+# the modules of further queries register them here
+from . import scenarios, surface  # noqa: E402, F401
