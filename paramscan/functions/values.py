@@ -14,14 +14,17 @@ DECIMAL = r"^-?(0|[1-9][0-9]*)\.([0-9]*[1-9]|0)$"
 
 
 def is_integer(value: Column) -> Column:
-    return value.rlike(INTEGER)
+    """``INTEGER`` without a regex: what a cast to a number and back leaves alone, of at most 18 digits."""
+    same = F.coalesce(value.try_cast("bigint").cast("string") == value, F.lit(False))
+    return same & (F.length(value) <= F.when(value.startswith("-"), 19).otherwise(18))
 
 
 def is_number(value: Column) -> Column:
     """Whole or fractional, in canonical form, of at most 15 digits and not below 0.0001 in size."""
     digits = F.length(F.regexp_replace(F.regexp_replace(value, "[-.]", ""), "^0+", ""))
     small = value.rlike(r"^-?0\.0000")
-    return (value.rlike(INTEGER) | value.rlike(DECIMAL)) & (digits <= 15) & ~small
+    few = F.length(value) <= F.when(value.startswith("-"), 16).otherwise(15)
+    return F.when(is_integer(value), few).otherwise(value.rlike(DECIMAL) & (digits <= 15) & ~small)
 
 
 def numeric_types(df: DataFrame, columns: list[str]) -> dict[str, str]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import safe_text
+from ..plans.cut import checkpoint
 from ..plans.spec import FormatSpec
 
 
@@ -49,14 +50,17 @@ def upsert(state: DataFrame, incoming: DataFrame, seq: str = "seq") -> DataFrame
 
 
 def numbered(rows: DataFrame, order: str = "path", seq: str = "seq") -> DataFrame:
-    """Add ``seq``, 1 and up in the order of ``order``. Ranges are numbered apart and then shifted, so no task sees all rows."""
-    # a fixed number, so that adaptive execution keeps the ranges alike wherever they are read
+    """Add ``seq``, 1 and up in the order of ``order``. Ranges are numbered apart and then shifted, so no task sees all rows.
+
+    The ranges are written: bounds are drawn from a sample, so a second
+    evaluation could part them elsewhere.
+    """
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(ranges, F.col(order)).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    counts = ranged.groupBy("_part").agg(F.max("_at").alias("_n"))
+    ranged = checkpoint(rows.repartitionByRange(ranges, F.col(order)).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     shifts = counts.select(F.col("_part").alias("_p"), (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_shift"))
-    return ranged.join(F.broadcast(shifts), F.col("_part") == F.col("_p")).withColumn(seq, (F.col("_at") + F.col("_shift")).cast("bigint")).drop("_part", "_at", "_p", "_shift")
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return placed.join(F.broadcast(shifts), F.col("_part") == F.col("_p")).withColumn(seq, (F.col("_at") + F.col("_shift")).cast("bigint")).drop("_part", "_at", "_p", "_shift")
 
 
 def entries(state: DataFrame, fmt: str) -> DataFrame:

@@ -106,11 +106,16 @@ class FormatSpec:
         return path.rlike(self.regex)
 
     def decode(self, path: Column) -> dict[str, Column]:
-        """One expression per field; typed fields are cast."""
+        """One expression per field; typed fields are cast, and empty where the path doesn't fit.
+
+        All fields are parts of one split text, so that a projection of them
+        runs the regex once. Zero characters, which no path holds, part them.
+        """
         kinds = {s.name: s.kind for s in reversed(self.segments) if s.name}
+        parts = F.split(F.regexp_replace(path, self.regex, "".join(f"\0${n}" for n in range(1, len(self.fields) + 1))), "\0", -1)
         out = {}
         for n, name in enumerate(self.fields, 1):
-            value = F.regexp_extract(path, self.regex, n)
+            value = F.coalesce(F.get(parts, F.lit(n)), F.lit("")) if len(self.fields) > 1 else F.regexp_extract(path, self.regex, n)
             out[name] = value if kinds[name] == "text" else F.trim(value).cast("bigint" if kinds[name] == "int" else "double")
         return out
 

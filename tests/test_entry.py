@@ -23,3 +23,9 @@ def test_works_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'status_diff' in q and not [k for k in q if k.startswith('op') or k == 'pipeline']; print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_works_without_a_package_that_the_corpus_operators_need():
+    code = "import sys; sys.modules['ahocorasick'] = sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'status_diff' in q; print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env={**os.environ, "PYTHONPATH": ROOT}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr

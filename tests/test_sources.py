@@ -240,6 +240,8 @@ def test_state(spark):
         manifest.normalised(text.drop("sha1"))
     many = spark.range(500).selectExpr("concat('p', lpad(id, 4, '0')) as path")
     assert [r.seq for r in manifest.numbered(many).orderBy("path").collect()] == list(range(1, 501))
+    many = spark.range(40_000).select(F.sha1(F.col("id").cast("string")).alias("path"), "id")
+    assert [r.seq for r in manifest.numbered(many).orderBy("path").select("seq").collect()] == list(range(1, 40_001))
 
 
 def test_selection(spark):
