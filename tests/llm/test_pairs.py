@@ -211,6 +211,27 @@ def test_short_items_with_substitutions(spark):
         assert {(r.doc_id, r.item_id): r.matched for r in decontaminate.report(df, bench, broadcast_words=limit).collect()} == want
 
 
+def test_every_length_and_substitution_count(spark):
+    """Items of 1 to 40 words, each copied with every number of substitutions that leaves 80 % of a window, and one more."""
+    rng = random.Random(17)
+    items = [(n, " ".join(f"i{n}x{i}" for i in range(n))) for n in range(1, 41)]
+    docs = []
+    for n, t in items:
+        size = min(13, n)
+        for gone in range(size - -(-8 * size // 10) + 2):
+            for _ in range(4):
+                words = t.split()
+                start = rng.randrange(n - size + 1)
+                for at in rng.sample(range(size), min(gone, size)):
+                    words[start + at] = f"zz{rng.randrange(9)}"
+                docs.append((len(docs), " ".join(["pad"] * rng.randrange(4) + words[start : start + size] + ["end"])))
+    want = slow_overlaps(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (10**6, 0):
+        assert {(r.doc_id, r.item_id): r.matched for r in decontaminate.report(df, bench, broadcast_words=limit).collect()} == want
+    assert {j for _, j in want} == set(range(5, 41))
+
+
 def test_mix_equals_sql(spark, tmp_path):
     rng = random.Random(3)
     texts = list(ODD) + [" ".join("w" for _ in range(rng.randrange(1, 400))) for _ in range(120)]

@@ -42,6 +42,15 @@ def test_secret_spans_equal_regexes():
         assert [x for x in secret_dfa.find_secrets(t, auto) if x[2] < 3] == plain_secrets(t)
 
 
+def test_secrets_in_very_long_and_repeated_texts(spark):
+    auto = secret_dfa.compile_rules()
+    long = "é token=abcdef " * 40_000 + "x" * 500_000 + " AKIA" + "A1" * 20
+    assert [x for x in secret_dfa.find_secrets(long, auto) if x[2] < 3] == plain_secrets(long)
+    df = spark.createDataFrame([(1, long[:2000]), (1, long[:2000]), (None, "secret=abcdef"), (2, None)], "doc_id long, text string")
+    rows = sorted(map(tuple, secret_dfa.report(df).select("doc_id", "n_assign").collect()), key=repr)
+    assert rows == sorted([(1, len(plain_secrets(long[:2000])))] * 2 + [(None, 1), (2, 0)], key=repr)
+
+
 def test_added_secret_kinds():
     auto = secret_dfa.compile_rules()
     t = "ghp_" + "a1B2" * 9 + " -----BEGIN RSA PRIVATE KEY----- xoxb-123456789012-abc eyJabc.eyJdef.sig-x ghp_short"
