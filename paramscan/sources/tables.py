@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import glob
+import io
 import os
 import shutil
 import tempfile
@@ -24,9 +26,6 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_tsv(spark: SparkSession, text: str) -> DataFrame:
     """``read_tsv`` of a small text, such as a stored revision."""
-    import csv
-    import io
-
     rows = list(csv.reader(io.StringIO(text), delimiter="\t"))
     if not rows:
         return spark.createDataFrame([], "sha1 string")
@@ -48,18 +47,22 @@ def atomic_path(path: str):
 
 
 def write_tsv(df: DataFrame, path: str, null: str = "") -> None:
-    """One local file, written whole or not at all; nulls become ``null``. The export format of a manifest: use Parquet for large ones."""
+    """One local file, written whole or not at all; nulls become ``null``. The export format of a manifest: use Parquet for large ones.
+
+    All tasks write their rows at once, in a folder beside the file, which they
+    must share; the parts are then put together in order.
+    """
     text = df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null)).alias(c) for c in df.columns])
     folder = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".tmp-")
     try:
-        text.coalesce(1).write.mode("overwrite").csv("file://" + folder, sep="\t", header=True, quote='"', escape='"', emptyValue="", nullValue=null)
-        parts = glob.glob(os.path.join(folder, "part-*"))
-        with atomic_path(path) as temp:
-            if parts:
-                shutil.copyfile(parts[0], temp)
-            else:
-                with open(temp, "w") as f:
-                    f.write("\t".join(df.columns) + "\n")
+        text.write.mode("overwrite").csv("file://" + folder, sep="\t", header=False, quote='"', escape='"', emptyValue="", nullValue=null)
+        with atomic_path(path) as temp, open(temp, "wb") as out:
+            head = io.StringIO()
+            csv.writer(head, delimiter="\t", lineterminator="\n").writerow(df.columns)
+            out.write(head.getvalue().encode())
+            for part in sorted(glob.glob(os.path.join(folder, "part-*"))):
+                with open(part, "rb") as f:
+                    shutil.copyfileobj(f, out, 1 << 20)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 
