@@ -13,7 +13,7 @@ from ..errors import SelectionError
 from ..functions.checksums import cleaned
 from ..functions.paths import checked_relative, is_safe_relative
 from ..plans.spec import FormatSpec
-from ..sources.tables import read_tsv
+from ..sources.tables import has_malformed_lines, read_tsv
 from .select import identified, select_files
 
 SCHEMA = "ord long, path string, algorithm string, checksum string"
@@ -55,6 +55,8 @@ def gather(spark: SparkSession, folder: str, config: dict, paths: list[str] | No
         if not os.path.isfile(full):
             raise SelectionError(f"{name} does not exist")
         rows = read_tsv(spark, "file://" + full)
+        if has_malformed_lines(spark, "file://" + full):
+            raise SelectionError(f"{name} cannot be read: a line has more values than the table has columns")
         if len(rows.columns):
             rows = remote_paths(rows, [e["fmt"] for e in entries if e.get("db") == name])
             parts.append(identified(rows.withColumn("ord", F.lit(k * STEP) + F.monotonically_increasing_id() % STEP)))

@@ -24,6 +24,16 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return df.na.fill("")
 
 
+def has_malformed_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a row has more values than the header has names, which ``read_tsv`` would cut off."""
+    names = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote='"', escape='"', multiLine=True).columns
+    if not names:
+        return False
+    whole = T.StructType([T.StructField(f"c{n}", T.StringType()) for n in range(len(names) + 1)])
+    rows = spark.read.csv(path, schema=whole, sep="\t", header=True, enforceSchema=True, quote='"', escape='"', multiLine=True, mode="PERMISSIVE")
+    return not rows.filter(F.col(f"c{len(names)}").isNotNull()).isEmpty()
+
+
 def parse_tsv(spark: SparkSession, text: str) -> DataFrame:
     """``read_tsv`` of a small text, such as a stored revision."""
     rows = list(csv.reader(io.StringIO(text), delimiter="\t"))

@@ -2,9 +2,9 @@
 
 A dataset directory holds a store: snapshots of configuration and manifest by
 commit, branch references, and file contents by digest. What changed, what is
-missing and what must move is planned with DataFrames. Contents are copied into
-and out of the store on the executors, which share its directory; only a
-checkout, whose journal undoes it if it fails, moves files on the driver.
+missing and what must move is planned with DataFrames. Files are copied, moved
+and hashed on the executors, which share the dataset's directory; a checkout
+sets files aside before it installs others, and puts them back if it fails.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from . import config as configuration
 from .errors import CheckoutError, CloneError, DestinationExistsError, StoreError
 from .functions.paths import checked_relative, within
 from .functions.values import safe_text
+from .plans.cut import checkpoint, discard
 from .operators import diff, manifest
 from .operators.frame import ParamFrame
 from .plans.spec import FormatSpec
@@ -90,10 +91,47 @@ def transfer(rows: DataFrame) -> int:
     return outcome.n
 
 
+def each(rows: DataFrame, act) -> None:
+    """Run ``act`` on each ``path`` on the executors; errors are gathered and raised as one."""
+
+    def run(batches):
+        for pdf in batches:
+            errors = []
+            for path in pdf["path"]:
+                try:
+                    act(path)
+                    errors.append(None)
+                except (OSError, ValueError) as e:
+                    errors.append(f"{path}: {e}")
+            yield pd.DataFrame({"error": errors}, dtype=object)
+
+    bad = rows.select("path").mapInPandas(run, "error string").agg(F.slice(F.array_sort(F.collect_list("error")), 1, SHOWN_ERRORS).alias("shown")).first().shown
+    if bad:
+        raise StoreError("; ".join(bad))
+
+
+def _set_aside(path: str, backup: str) -> None:
+    """Move a file to its backup; one that a task has moved before is there already."""
+    if os.path.lexists(path) and not os.path.exists(backup):
+        os.makedirs(os.path.dirname(backup), exist_ok=True)
+        os.replace(path, backup)
+
+
+def _put_back(path: str, backup: str, new: bool) -> None:
+    """Undo: a backup takes its place again; without one, what is there goes if it can only be ``new``."""
+    if os.path.lexists(backup):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        os.replace(backup, path)
+    elif new and os.path.isfile(path):
+        os.unlink(path)
+
+
 class Dataset:
     """A directory of files and its store (``DIR/.hm``; a path that ends in ``.hm`` is a store without files)."""
 
     def __init__(self, spark: SparkSession, path: str):
+        if os.path.exists(path) and not os.path.isdir(path):
+            raise NotADirectoryError(f"{path} is not a directory")
         self.spark, self.root = spark, None if path.endswith(".hm") else os.path.abspath(path)
         self.home = os.path.abspath(path) if self.root is None else os.path.join(self.root, ".hm")
         link = os.path.join(self.home, "store")
@@ -354,23 +392,30 @@ class Dataset:
     def status(self) -> dict:
         rows = self.status_frame().orderBy("section", "label", "path").collect()
         pick = lambda s, label: [r.path for r in rows if (r.section, r.label) == (s, label)]
-        head = self.revision(self.branch)
         return {
             "branch": self.branch,
-            "staged": {"state": [p for p in PARTS if head is None or self._bytes(None, p) != self._bytes(head, p)], "added": pick("staged", "added"), "modified": pick("staged", "modified"), "deleted": pick("staged", "deleted")},
+            "staged": {"state": self._changed_parts(), "added": pick("staged", "added"), "modified": pick("staged", "modified"), "deleted": pick("staged", "deleted")},
             "worktree": {"modified": pick("worktree", "modified"), "deleted": pick("worktree", "deleted")},
             "untracked": pick("untracked", "untracked"),
         }
 
+    def _changed_parts(self) -> list[str]:
+        head = self.revision(self.branch)
+        return [p for p in PARTS if head is None or self._bytes(None, p) != self._bytes(head, p)]
+
+    def ensure_clean(self) -> None:
+        """An error that names some of the files or state that differ from the last commit, if any do."""
+        rows = self.status_frame().filter("section = 'worktree'").orderBy("label", "path").limit(SHOWN_ERRORS).collect()
+        dirty = self._changed_parts() + [r.path for r in rows]
+        if dirty:
+            raise CheckoutError("uncommitted changes: " + ", ".join(dirty[:SHOWN_ERRORS]))
+
     # --- switching
 
     def checkout(self, branch: str) -> None:
         """Install a branch's files, or start a new branch here. Any failure puts everything back."""
         branch_name(branch)
-        found = self.status()
-        dirty = found["worktree"]["modified"] + found["worktree"]["deleted"] + found["staged"]["state"]
-        if dirty:
-            raise CheckoutError("uncommitted changes: " + ", ".join(dirty[:SHOWN_ERRORS]))
+        self.ensure_clean()
         here = self.revision(self.branch)
         if branch not in self.refs():
             self._set_ref(branch, here)
@@ -402,35 +447,29 @@ class Dataset:
                 shutil.copyfile(os.path.join(self._folder(commit), part), temp)
 
     def _move(self, plan: DataFrame) -> None:
-        """Back up, install and remove by plan, children before parents; undone as a whole on failure."""
+        """Back up every file of a plan, then install; both on the executors. Undone as a whole on failure.
+
+        The plan is written first, since it was made from the files that now move.
+        """
         backup = os.path.join(self.home, "backup")
         shutil.rmtree(backup, ignore_errors=True)
-        done: list[tuple[str, bool]] = []
+        plan = checkpoint(plan.select("path", "action", "sha1"))
+        root, safe = self.root, False
         try:
-            for r in plan.orderBy(F.desc(F.size(F.split("path", "/"))), F.desc("path")).toLocalIterator():
-                full, kept = contained(self.root, r.path), os.path.join(backup, r.path)
-                had = os.path.exists(full)
-                if had:
-                    os.makedirs(os.path.dirname(kept), exist_ok=True)
-                    os.replace(full, kept)
-                done.append((r.path, had))
-                if r.action == "install":
-                    self._restore(r.sha1, full)
+            each(plan, lambda path: _set_aside(contained(root, path), os.path.join(backup, path)))
+            safe = True
+            self._install(plan.filter("action = 'install'"))
         except Exception as e:
-            for path, had in reversed(done):
-                full = os.path.join(self.root, path)
-                if os.path.exists(full):
-                    os.unlink(full)
-                if had:
-                    os.replace(os.path.join(backup, path), full)
+            each(plan, lambda path: _put_back(os.path.join(root, path), os.path.join(backup, path), safe))
             shutil.rmtree(backup, ignore_errors=True)
             raise CheckoutError(f"checkout failed and was undone: {e}") from e
         shutil.rmtree(backup, ignore_errors=True)
-        for path, _ in done:
-            folder = os.path.dirname(os.path.join(self.root, path))
-            while folder != self.root and os.path.isdir(folder) and not os.listdir(folder):
+        for r in plan.filter("action != 'install'").select(F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1).alias("folder")).distinct().toLocalIterator():
+            folder = os.path.join(self.root, r.folder)
+            while folder.rstrip("/") != self.root and os.path.isdir(folder) and not os.listdir(folder):
                 os.rmdir(folder)
                 folder = os.path.dirname(folder)
+        discard(plan)
 
     def add_worktree(self, branch: str, path: str | None = None) -> Dataset:
         """A directory beside this one, linked to the store, with a branch installed."""

@@ -17,6 +17,10 @@ def test_gather(spark, tmp_path):
         rows(tables=["missing"])
     with pytest.raises(ValueError):
         rows(paths=["../up"])
+    with open(tmp_path / "t.tsv", "a") as f:
+        f.write("x.fits\t\tNA\ttoo many\n")
+    with pytest.raises(SelectionError, match="more values"):
+        rows(tables=["t"])
     legacy = spark.createDataFrame([("a" * 40, "x")], "sha1 string, source string")
     assert [r.path for r in gather(spark, str(tmp_path), {"data": [{"fmt": "d/{source}.f"}]}, data=legacy).collect()] == ["d/x.f"]
 

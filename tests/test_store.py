@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -85,20 +86,32 @@ def test_add_commit_status_checkout(spark, tmp_path):
     assert sorted(p for p in os.listdir(tree.root) if p != ".hm") == ["a0.75_i0.h5", "a0.75_i30.h5", "a0_i0.h5"]
 
 
-def test_failed_checkout_is_undone(spark, tmp_path, monkeypatch):
+def test_failed_checkout_is_undone(spark, tmp_path):
     root = tmp_path / "set"
     fill(root)
     data = Dataset.init(spark, str(root))
     data.add("a{a}_i{i}.h5")
     data.commit("first")
     data.checkout("other")
+    first = (root / "a0_i0.h5").read_text()
     (root / "a0_i0.h5").write_text("changed")
+    os.unlink(root / "a0_i30.h5")
+    (root / "a7_i7.h5").write_text("only here")
     data.add(".")
     data.commit("second")
-    monkeypatch.setattr(Dataset, "_restore", lambda *a: (_ for _ in ()).throw(OSError("disk")))
-    with pytest.raises(CheckoutError):
+    before = {p.name: p.read_text() for p in root.glob("*.h5")}
+    sha1 = hashlib.sha1(first.encode()).hexdigest()
+    stored = root / ".hm" / "objects" / sha1[:2] / sha1[2:]
+    stored.write_text("damaged")
+    with pytest.raises(CheckoutError, match="undone"):
         data.checkout("main")
-    assert (root / "a0_i0.h5").read_text() == "changed" and data.branch == "other"
+    assert {p.name: p.read_text() for p in root.glob("*.h5")} == before and data.branch == "other" and not (root / ".hm" / "backup").exists()
+    stored.write_text(first)
+    data.checkout("main")
+    assert (root / "a0_i0.h5").read_text() == first and not (root / "a7_i7.h5").exists() and (root / "a0_i30.h5").exists()
+    (root / "a0_i0.h5").write_text("dirty")
+    with pytest.raises(CheckoutError, match="a0_i0.h5"):
+        data.ensure_clean()
 
 
 @pytest.mark.parametrize("name", ["", "-x", "a..b", "a b", "x.lock", "/a", "a/", "a@{b", "a~b"])
