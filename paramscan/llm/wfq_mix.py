@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, discard
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -37,18 +37,22 @@ def ranges_of(rows: int) -> int:
     return max(1, min(RANGES, -(-rows // RANGE_ROWS)))
 
 
-def _placed(df: DataFrame, order: list[Column], ranges: int) -> DataFrame:
+def _placed(df: DataFrame, order: list[Column], ranges: int, written: list) -> DataFrame:
     """``df`` range-sorted into ``ranges``, numbered by ``_range``; written, so that the numbers stay."""
-    return checkpoint(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    written.append(checkpoint(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())))
+    return written[-1]
 
 
-def _running(df: DataFrame, order: list[Column], value: str, out: str, ranges: int, by: str | None = None, groups: int = 0) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows up to each in ``order``, which ``by``, one of at most ``groups`` values, comes first in."""
+def _running(df: DataFrame, order: list[Column], value: str, out: str, ranges: int, written: list, by: str | None = None, groups: int = 0) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows up to each in ``order``, which ``by``, one of at most ``groups`` values, comes first in.
+
+    Checkpoints that the result reads are added to ``written``.
+    """
     to_row = (Window.unboundedPreceding, Window.currentRow)
     by = [by] if by else []
     if ranges == 1:
         return df.withColumn(out, F.sum(value).over(Window.partitionBy(*by or [F.lit(0)]).orderBy(*order).rowsBetween(*to_row)))
-    placed = _placed(df, order, ranges)
+    placed = _placed(df, order, ranges, written)
     sums = placed.groupBy("_range", *by).agg(F.sum(value).alias("_s"))
     before = F.sum("_s").over(Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(*to_row)) - F.col("_s")
     sums = sums.select(F.col("_range").alias("_r"), *[F.col(c).alias("_by") for c in by], before.alias("_before"))
@@ -60,7 +64,7 @@ def _running(df: DataFrame, order: list[Column], value: str, out: str, ranges: i
     return joined.withColumn(out, within + F.col("_before")).select(*df.columns, out)
 
 
-def targets(sources: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+def targets(sources: DataFrame, written: list, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """Add ``target`` to one row per source ``(source, source_size, ...)``.
 
     Weights repeat over the sources by code point, null last. Sources share
@@ -72,12 +76,12 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS
     count, total = sources.agg(F.count("*"), F.sum("source_size")).first()
     ranges = 1 if count <= SMALL else ranges_of(count)
     named = F.col("source").asc_nulls_last()
-    ranked = _running(sources.withColumn("one", F.lit(1)), [named], "one", "rank", ranges)
+    ranked = _running(sources.withColumn("one", F.lit(1)), [named], "one", "rank", ranges, written)
     cycle = F.array(*[F.lit(w).cast("double") for w in weights])
     weighed = ranked.withColumns({"weight": F.get(cycle, ((F.col("rank") - 1) % len(weights)).cast("int")), "cap": F.lit(repeats) * F.col("source_size")})
     weighed = weighed.withColumn("ratio", F.col("cap") / F.col("weight"))
     by_ratio = [F.col("ratio"), named]
-    weighed = _running(_running(weighed, by_ratio, "cap", "caps", ranges), by_ratio, "weight", "weights", ranges)
+    weighed = _running(_running(weighed, by_ratio, "cap", "caps", ranges, written), by_ratio, "weight", "weights", ranges, written)
     all_weight = F.lit(weighed.agg(F.sum("weight")).first()[0])
     level = (F.lit(total) - (F.col("caps") - F.col("cap"))) / (all_weight - (F.col("weights") - F.col("weight")))
     level = weighed.select(level.alias("level"), "ratio").filter("level <= ratio").agg(F.max("level")).first()[0]
@@ -86,17 +90,21 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS
 
 def _cut(copies: DataFrame, order: list[Column], ranges: int, budget: int):
     """The copy in which the budget ends, with the words it still gives as ``part``; None if all fit."""
-    placed = _placed(copies, order, ranges)
+    written: list = []
+    placed = _placed(copies, order, ranges, written)
     to_row = (Window.unboundedPreceding, Window.currentRow)
     sums = placed.groupBy("_range").agg(F.sum("size").alias("s"))
     sums = sums.withColumn("upto_range", F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(*to_row)))
     hit = sums.filter(F.col("upto_range") >= budget).orderBy("_range").first()
     if hit is None:
+        discard(*written)
         return None
     left = F.lit(budget - (hit["upto_range"] - hit["s"]))
     within = placed.filter(F.col("_range") == hit["_range"])
     within = within.withColumn("reach", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(*to_row)))
-    return within.filter(F.col("reach") >= left).withColumn("part", left - (F.col("reach") - F.col("size"))).orderBy("reach").first()
+    last = within.filter(F.col("reach") >= left).withColumn("part", left - (F.col("reach") - F.col("size"))).orderBy("reach").first()
+    discard(*written)
+    return last
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -114,15 +122,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, key:
     # rows alike in every column may be taken in any order; numbers keep them from being one range
     alike = F.xxhash64(F.monotonically_increasing_id())
     rows = checkpoint(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), h.alias("h"), th.alias("th"), alike.alias("alike")))
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources = checkpoint(targets(checkpoint(sources), weights, repeats))
+    written = [rows, checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))]
+    sources = checkpoint(targets(written[1], written, weights, repeats))
+    written.append(sources)
     groups, count, budget = sources.agg(F.count("*"), F.sum("n"), F.sum("source_size")).first()
     ranges = ranges_of(count or 0)
     shuffled = [F.col("source").asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("h", "th", "key", "size", "alike")]]
-    rows = _running(rows, shuffled, "size", "upto", ranges, "source", groups)
+    rows = _running(rows, shuffled, "size", "upto", ranges, written, "source", groups)
     plan = sources.select(F.col("source").alias("t_source"), "source_size", "target")
     rows = rows.join(F.broadcast(plan) if groups <= SMALL else plan, F.col("source").eqNullSafe(F.col("t_source")))
     rows = checkpoint(rows.select("key", "source", "size", "source_size", "target", "upto"))
+    discard(*written)
 
     def finish(copy: Column) -> Column:
         """Virtual finish time of a copy; null where the copy starts at or after the target."""
