@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,15 +12,18 @@ from pyspark.sql import DataFrame
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the folder that the session names in ``spark.checkpoint.dir``.
 
-    Where none is named, a temporary folder serves a local session; on a
-    cluster, whose executors would each write to a disk of their own, it is an error.
+    Where none is named, a temporary folder, removed when the driver ends,
+    serves a local session; on a cluster, whose executors would each write to a disk of their own, it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="paramscan-"))
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="paramscan-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -6,8 +6,10 @@ go below the session's checkpoint folder, which all workers see.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,7 @@ from .streaming import upsert
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder that the driver and all workers see."""
+    """A new folder that the driver and all workers see, removed when the driver ends."""
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
     if not shared.startswith("/"):
         if not spark.sparkContext.master.startswith("local"):
@@ -30,7 +32,9 @@ def workspace(spark: SparkSession) -> str:
         shared = ""
     if shared:
         os.makedirs(shared, exist_ok=True)
-    return tempfile.mkdtemp(prefix="paramscan-", dir=shared or None)
+    folder = tempfile.mkdtemp(prefix="paramscan-", dir=shared or None)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def nation_files(spark: SparkSession, sf_dir: str, root: str) -> list:
@@ -163,22 +167,25 @@ NAMES = """SELECT CASE l_linenumber % 6
   WHEN 3 THEN 'e' || l_suppkey || '-4fit.tar' WHEN 4 THEN 'other' || l_suppkey || 'name' ELSE 'prefix_long_literal_' || l_suppkey || '_suffix.txt' END AS path, l_linenumber % 6 AS kind, l_quantity AS q, l_suppkey AS s, l_linenumber AS n FROM lineitem"""
 
 
+def made_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("paramscan_lineitem")
+    return spark.sql(NAMES.replace("FROM lineitem", "FROM paramscan_lineitem")).select("path")
+
+
 @query(f"""
 SELECT DISTINCT path, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 2 END AS format,
   CASE kind WHEN 0 THEN 'a=' || q || ';i=' || n WHEN 1 THEN 'a=' || q WHEN 2 THEN 'band=b1;format=tar;kind=4fit;track=e' || s WHEN 3 THEN 'format=tar;kind=4fit;track=e' || s WHEN 5 THEN 'opt=' || s END AS fields
 FROM ({NAMES})""")
 def tolerant_names(spark, sf_dir):
     """Names that fit a format, names that lack a field of one, and names that fit none."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    found = match.match_formats(spark.sql(NAMES).select("path"), list(MATCHED))
+    found = match.match_formats(made_names(spark, sf_dir), list(MATCHED))
     return found.select("path", "format", F.array_join(F.array_sort(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";").alias("fields"))
 
 
 @query(f"""
 SELECT format, count(*) AS paths FROM (SELECT DISTINCT path, CASE kind WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 2 END AS format FROM ({NAMES})) GROUP BY format""")
 def best_format_counts(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return match.match_formats(spark.sql(NAMES).select("path"), list(MATCHED)).groupBy("format").agg(F.count("*").alias("paths"))
+    return match.match_formats(made_names(spark, sf_dir), list(MATCHED)).groupBy("format").agg(F.count("*").alias("paths"))
 
 
 STRUCTURES = """
