@@ -15,11 +15,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import build
+from . import config as configuration
 from .functions import registry
 from .operators import detect, gather, match
 from .queries import query, table
 from .sources import inventory, remote, tables
-from .store import Dataset
+from .store import Dataset, branch_name
 from .streaming import upsert
 
 
@@ -79,7 +81,7 @@ def tsv_round_trip(spark, sf_dir):
 
 def site(spark: SparkSession, sf_dir: str) -> dict[str, bytes]:
     """Index pages and files of a server: a directory a region, with a manifest of checksums, and one file a nation."""
-    rows = table(spark, sf_dir, "nation").collect()
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
     entry = lambda kind, name: f'<tr class="object {kind}"><td class="name"><a href="{name}">{name}</a></td></tr>'
     regions = sorted({r.n_regionkey for r in rows})
     out = {"http://host/": "".join(entry("collection", f"r{k}/") for k in regions) + entry("data-object x", "README.md"), "http://host/README.md": "read me"}
@@ -291,6 +293,114 @@ def dataset_clone(spark, sf_dir):
     return inventory.with_checksum(inventory.inventory(spark, os.path.join(root, "two")).select("path"), os.path.join(root, "two"))
 
 
+@query(f"SELECT {PATH} AS path, sha1(n_name) AS sha1 FROM nation WHERE n_regionkey = 1")
+def dataset_scoped_add(spark, sf_dir):
+    """Files scanned again below one directory replace the manifest; one whose name only begins alike is not below it."""
+    root = workspace(spark)
+    nation_files(spark, sf_dir, root)
+    os.makedirs(os.path.join(root, "r1-other"))
+    with open(os.path.join(root, "r1-other", "n_99.dat"), "w") as f:
+        f.write("beside")
+    data = Dataset.init(spark, root)
+    data.add(FORMAT)
+    data.add(".", below="r1")
+    return data.entries_at(None)
+
+
+@query("SELECT sha1(n_name) AS sha1, n_nationkey % 2 = 0 AS fetched FROM nation")
+def dataset_fetch(spark, sf_dir):
+    """Contents that a store lacks fetched from another one: which there are afterwards, and which were not there before."""
+    root = workspace(spark)
+    nation_files(spark, sf_dir, os.path.join(root, "one"))
+    data = Dataset.init(spark, os.path.join(root, "one"))
+    data.add(FORMAT)
+    data.commit("nations")
+    copy = Dataset.clone(spark, os.path.join(root, "one"), os.path.join(root, "two"))
+    lost = [hashlib.sha1(r.n_name.encode()).hexdigest() for r in table(spark, sf_dir, "nation").collect() if r.n_nationkey % 2 == 0]
+    for sha1 in lost:
+        os.unlink(os.path.join(root, "two", ".hm", "objects", sha1[:2], sha1[2:]))
+    before = spark.createDataFrame(copy.objects().collect(), "sha1 string")
+    copy.fetch_missing(os.path.join(root, "one"))
+    return copy.objects().join(before.withColumn("was", F.lit(True)), "sha1", "left").select("sha1", F.col("was").isNull().alias("fetched"))
+
+
+@query("SELECT * FROM (VALUES (1, 'third', 'main'), (2, 'first', 'main'), (3, 'Initial commit', 'main')) t(place, message, branch)")
+def dataset_log(spark, sf_dir):
+    """Commits of a branch, newest first; a commit of nothing makes none, and those of another branch don't show."""
+    root = workspace(spark)
+    nation_files(spark, sf_dir, root)
+    data = Dataset.init(spark, root)
+    data.add(FORMAT)
+    data.commit("first")
+    data.commit("nothing")
+    data.checkout("side")
+    data.set_config(encoding={"aspin": "m([0-9]+)"})
+    data.commit("second")
+    data.checkout("main")
+    data.set_config(remote_name="origin", remote_url="http://host")
+    data.commit("third")
+    return spark.createDataFrame([(n, c["message"], c["branch"]) for n, c in enumerate(data.log(), 1)], "place int, message string, branch string")
+
+
+@query(f"""
+SELECT 'nations' AS part, {PATH} AS path, CASE WHEN n_nationkey % 2 = 1 THEN 'md5' ELSE 'None' END AS algorithm, CASE WHEN n_nationkey % 2 = 1 THEN md5(n_name) ELSE 'None' END AS checksum, CAST(n_regionkey AS VARCHAR) AS region, CAST(n_nationkey AS VARCHAR) AS nation FROM nation
+UNION ALL SELECT 'static', 'README.md', 'md5', md5('read me'), NULL, NULL
+UNION ALL SELECT 'static', 'r' || n_regionkey || '/md5sums.txt', 'md5', md5('# not a checksum' || chr(10) || coalesce(string_agg(md5(n_name) || '  n_' || n_nationkey || '.dat' || chr(10), '' ORDER BY n_nationkey) FILTER (n_nationkey % 2 = 1), '')), NULL, NULL FROM nation GROUP BY n_regionkey""")
+def build_dataset(spark, sf_dir):
+    """A dataset built from a server's index: matched files in a table with their checksums, the others in the configuration with digests."""
+    folder = workspace(spark)
+    made = build.build(spark, folder, "http://host", [{"fmt": FORMAT, "db": "nations"}], site(spark, sf_dir).get)
+    assert made == tables.load_yaml(os.path.join(folder, "config.yml"))
+    static = [("static", e["file"], "md5", e["md5"], None, None) for e in made["data"] if "file" in e]
+    schema = "part string, path string, algorithm string, checksum string, region string, nation string"
+    rows = tables.read_tsv(spark, "file://" + os.path.join(folder, "nations.tsv"))
+    return rows.select(F.lit("nations").alias("part"), "path", F.col("checksum_algorithm").alias("algorithm"), "checksum", "region", "nation").union(spark.createDataFrame(static, schema))
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS key, r_name AS name, 'two' || chr(10) || 'lines of ' || r_name || chr(10) AS note, repeat(r_name, 60) AS long FROM region")
+def yaml_round_trip(spark, sf_dir):
+    path = os.path.join(workspace(spark), "meta.yml")
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    tables.dump_yaml({str(r.r_regionkey): {"name": r.r_name, "note": f"two\nlines of {r.r_name}\n", "long": r.r_name * 60} for r in rows}, path)
+    return spark.createDataFrame([(k, v["name"], v["note"], v["long"]) for k, v in tables.load_yaml(path).items()], "key string, name string, note string, long string")
+
+
+RULES = [
+    ("one remote takes a URL", "origin http://new"), ("a named remote changes", "a 1, b 3"), ("a new remote is added", "a 1, b 2"), ("several need a name", "error"), ("a text is one remote", "http://x"),
+    ("the strongest checksum", "sha256 b"), ("a table name", "t.tsv"), ("a format repeats", "error"), ("one format", "{a}"), ("two formats", "error"), ("a branch", "x/y"), ("no branch", "error"), ("encodings merge", "a 1, b 2"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in RULES) + ") t(rule, outcome)")
+def configuration_rules(spark, sf_dir):
+    """What the rules of configurations give, one by one."""
+    listed = lambda config: ", ".join(" ".join(e.values()) for e in config["remote"])
+    two = [{"name": "a", "url": "1"}, {"name": "b", "url": "2"}]
+    outcomes = [
+        lambda: " ".join(configuration.with_remote({"remote": {"name": "origin"}}, None, "http://new")["remote"].values()),
+        lambda: listed(configuration.with_remote({"remote": two}, "b", "3")),
+        lambda: listed(configuration.with_remote({"remote": two[:1]}, "b", "2")),
+        lambda: listed(configuration.with_remote({"remote": two}, None, "3")),
+        lambda: configuration.remote_url({"remote": "http://x"}),
+        lambda: " ".join(configuration.entry_checksum({"md5": "a", "sha256": "b", "sha1": "unknown"})),
+        lambda: configuration.build_entries([{"fmt": "{a}", "db": "t"}])[0]["db"],
+        lambda: configuration.build_entries([{"fmt": "{a}", "db": "t"}, {"fmt": " {a} ", "db": "u"}])[0]["db"],
+        lambda: configuration.single_format({"data": [{"fmt": "{a}"}, {"file": "x"}]})["fmt"],
+        lambda: configuration.single_format({"data": [{"fmt": "{a}"}, {"fmt": "{b}"}]})["fmt"],
+        lambda: branch_name("x/y"),
+        lambda: branch_name("x..y"),
+        lambda: ", ".join(" ".join(e) for e in configuration.with_format({"data": {"fmt": "{z}", "encoding": {"a": "1"}}}, encoding={"b": "2"})["data"][0]["encoding"].items()),
+    ]
+
+    def outcome(f) -> str:
+        try:
+            return f()
+        except ValueError:
+            return "error"
+
+    return spark.createDataFrame([(rule, outcome(f)) for (rule, _), f in zip(RULES, outcomes, strict=True)], "rule string, outcome string")
+
+
 # --- streams and SQL functions
 
 
