@@ -64,15 +64,17 @@ def _running(df: DataFrame, order: list[Column], value: str, out: str, ranges: i
     return joined.withColumn(out, within + F.col("_before")).select(*df.columns, out)
 
 
-def targets(sources: DataFrame, written: list, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+def targets(sources: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, written: list | None = None) -> DataFrame:
     """Add ``target`` to one row per source ``(source, source_size, ...)``.
 
     Weights repeat over the sources by code point, null last. Sources share
     the sum of all sizes by weight; none gets more than ``repeats`` times its
     size, and what is over goes to the others by weight until all fit. Taken
     in order of cap to weight, the common level is the largest share per
-    weight that the first source not held by its cap allows.
+    weight that the first source not held by its cap allows. Checkpoints that
+    the result reads are added to ``written``.
     """
+    written = [] if written is None else written
     count, total = sources.agg(F.count("*"), F.sum("source_size")).first()
     ranges = 1 if count <= SMALL else ranges_of(count)
     named = F.col("source").asc_nulls_last()
@@ -123,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, key:
     alike = F.xxhash64(F.monotonically_increasing_id())
     rows = checkpoint(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words(F.col(text)).alias("size"), h.alias("h"), th.alias("th"), alike.alias("alike")))
     written = [rows, checkpoint(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))]
-    sources = checkpoint(targets(written[1], written, weights, repeats))
+    sources = checkpoint(targets(written[1], weights, repeats, written))
     written.append(sources)
     groups, count, budget = sources.agg(F.count("*"), F.sum("n"), F.sum("source_size")).first()
     ranges = ranges_of(count or 0)

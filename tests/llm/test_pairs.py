@@ -257,6 +257,34 @@ def test_mix_edges(spark):
     assert sum(r.taken for r in rows) == 10 and all(r.taken <= 3 * r["size"] for r in rows)
 
 
+def test_targets_share_by_weight_and_cap(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"s{i:03d}" if i else None, rng.choice([0, 1, 10, 1000, 10**6]) * rng.randrange(1, 9)) for i in range(60)]
+    sources = spark.createDataFrame(rows, "source string, source_size long")
+
+    def slow():
+        """Plain form: share what is left by weight among the open sources until none is above its cap."""
+        order = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+        weight = {r[0]: (5, 2, 1)[n % 3] for n, r in enumerate(order)}
+        out, open_ones, left = {}, dict(rows), float(sum(n for _, n in rows))
+        while open_ones:
+            level = left / sum(weight[s] for s in open_ones)
+            over = {s: 3.0 * n for s, n in open_ones.items() if weight[s] * level > 3 * n}
+            if not over:
+                return {**out, **{s: weight[s] * level for s in open_ones}}
+            out |= over
+            left -= sum(over.values())
+            open_ones = {s: n for s, n in open_ones.items() if s not in over}
+        return out
+
+    want = slow()
+    for small, ranged in ((wfq_mix.SMALL, wfq_mix.RANGE_ROWS), (0, 7)):
+        monkeypatch.setattr(wfq_mix, "SMALL", small)
+        monkeypatch.setattr(wfq_mix, "RANGE_ROWS", ranged)
+        got = {r.source: r.target for r in wfq_mix.targets(sources).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_mix_in_many_ranges(spark, monkeypatch):
     rng = random.Random(11)
     rows = [(i if i % 5 else None, "w " * (1 + i % 7), f"s{i % 4}" if i % 11 else None) for i in range(400)]
