@@ -26,20 +26,20 @@ from pyspark.sql import types as T
 
 from .common import stratified
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 DIM = 8
-LENGTHS = (3, 4, 5)
+LENGTHS = (4, 5, 6, 7)
 BLOCK = 1 << 20  # bytes of a text whose n-grams are hashed at once
 SAMPLE = {1: 2500, 0: 6500}  # labelled rows of each class, about
 SAMPLE_CHARS = 20_000  # longer texts of the sample are sent to the driver as counts of their buckets
 ASIDE = 5  # one labelled row in so many weighs the two means
 ASIDE_ROWS = 8  # of each class, at least; with fewer the text's mean alone counts
 CELL = 16  # bytes; a passage is two cells, and each cell is in two passages
-PASSAGE_SMOOTH = 100  # as SMOOTH, for passages
+PASSAGE_SMOOTH = 30  # as SMOOTH, for passages
 EPOCHS = 8
 STEPS = 600  # at least; a small sample is gone through more often
 BATCH = 64
-SMOOTH = 1500  # n-grams without meaning that each mean includes, so that few n-grams give no certainty
+SMOOTH = 200  # n-grams without meaning that each mean includes, so that few n-grams give no certainty
 RATE = 0.05
 DECAY = 0.15  # pull of embeddings to zero, against odds read from few rows
 SPREAD = 16.0  # of the embeddings' steps: larger is slower
