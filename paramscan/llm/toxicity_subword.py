@@ -156,14 +156,21 @@ def learn(bags: list, labels: list[int], epochs: int = EPOCHS, seed: int = 7) ->
     step = 0
     epochs = max(epochs, -(-STEPS * BATCH // len(y)))
     scale = np.float32(200)  # word shares are small numbers
+    seen, column = np.zeros(BUCKETS, bool), np.zeros(BUCKETS, np.int32)  # the buckets of a batch and their columns
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
-            used, place = np.unique(np.concatenate([bags[r][0] for r in rows]), return_inverse=True)
+            held = np.concatenate([bags[r][0] for r in rows])
+            seen[held] = True
+            used = np.flatnonzero(seen)
+            column[used] = np.arange(len(used))
+            place = column[held]
+            seen[used] = False
             x = np.zeros((len(rows), len(used)), np.float32)
             x[np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows]), place] = np.concatenate([bags[r][1] for r in rows]) * scale
-            mean = x @ weights["e"][used]
+            embedded = weights["e"].take(used, axis=0)
+            mean = x @ embedded
             z = mean @ weights["w"] + weights["b"]
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
@@ -171,16 +178,15 @@ def learn(bags: list, labels: list[int], epochs: int = EPOCHS, seed: int = 7) ->
             p[np.arange(len(rows)), y[rows]] -= 1
             p /= len(rows)
             step += 1
-            rate = RATE * (1 - 0.9 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for name, grad, at in (("w", mean.T @ p, slice(None)), ("b", p.sum(axis=0), slice(None)), ("e", x.T @ (p @ weights["w"].T), used)):
+            rate = np.float32(RATE * (1 - 0.9 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
+            for name, grad, at, old in (("w", mean.T @ p, slice(None), weights["w"]), ("b", p.sum(axis=0), slice(None), weights["b"]), ("e", x.T @ (p @ weights["w"].T), used, embedded)):
                 # one second moment for all embeddings: a rare n-gram must not move as far as a telling one
                 size = np.float32((grad * grad).sum() / weights["e"].size * SPREAD) if name == "e" else grad * grad
-                where = () if name == "e" else at
-                first[name][at] = 0.9 * first[name][at] + 0.1 * grad
-                second[name][where] = 0.999 * second[name][where] + 0.001 * size
-                weights[name][at] -= rate * first[name][at] / (np.sqrt(second[name][where]) + 1e-8)
-                if name == "e":
-                    weights[name][at] *= np.float32(1 - rate * DECAY)
+                moment = np.float32(0.9) * first[name][at] + np.float32(0.1) * grad
+                first[name][at] = moment
+                second[name] = (0.999 * second[name] + 0.001 * size).astype(np.float32)
+                new = old - moment * (rate / (np.sqrt(second[name]) + np.float32(1e-8)))
+                weights[name][at] = new * np.float32(1 - rate * DECAY) if name == "e" else new
     diff = weights["w"][:, 1] - weights["w"][:, 0]
     return Model((weights["e"] @ diff * scale).astype(np.float32), float(weights["b"][1] - weights["b"][0]))
 
