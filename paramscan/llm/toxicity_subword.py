@@ -80,13 +80,29 @@ def blocks(text: str | None):
     return (keys for keys, _ in placed(text))
 
 
-def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of a text and the shares of its n-grams in them; at most ``BUCKETS`` whatever the text's length."""
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text, ascending, and how many of its n-grams are in each; at most ``BUCKETS`` whatever the text's length."""
     at, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for keys in blocks(text):
         at, place = np.unique(np.concatenate([at, keys]), return_inverse=True)
         n = np.bincount(place, np.concatenate([n, np.ones(len(keys))]), len(at))
-    return at.astype(np.uint32), (n / (n.sum() + SMOOTH)).astype(np.float32)
+    return at.astype(np.uint32), n.astype(np.uint32)
+
+
+def packed(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps from one bucket to the next, and counts, each in the narrowest type: some 3 bytes a bucket, as the driver holds all bags of a sample."""
+    steps = np.diff(at.astype(np.int64), prepend=0)
+    return tuple(x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (steps, n))
+
+
+def shares(steps: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a packed bag and the shares of the n-grams in them."""
+    return np.cumsum(steps, dtype=np.int64), (n / (n.sum(dtype=np.int64) + SMOOTH)).astype(np.float32)
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The packed bag of a text."""
+    return packed(*counts(text))
 
 
 @dataclass
@@ -150,7 +166,7 @@ def learn(bags: list, labels: list[int], epochs: int = EPOCHS, seed: int = 7) ->
         return Model(np.zeros(BUCKETS, np.float32), 0.0 if len(y) == 0 else (4.0 if y[0] else -4.0))
     rng = np.random.default_rng(seed)
     prior = y.mean()
-    weights = {"e": rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32), "w": rng.normal(0, 0.05, (DIM, 2)).astype(np.float32), "b": np.log(np.array([1 - prior, prior], np.float32))}
+    weights = {"e": rng.standard_normal((BUCKETS, DIM), np.float32) * np.float32(0.05), "w": rng.normal(0, 0.05, (DIM, 2)).astype(np.float32), "b": np.log(np.array([1 - prior, prior], np.float32))}
     first = {k: np.zeros_like(v) for k, v in weights.items()}
     second = {k: np.zeros((() if k == "e" else v.shape), np.float32) for k, v in weights.items()}
     step = 0
@@ -161,14 +177,15 @@ def learn(bags: list, labels: list[int], epochs: int = EPOCHS, seed: int = 7) ->
         order = rng.permutation(len(y))
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
-            held = np.concatenate([bags[r][0] for r in rows])
+            parts = [shares(*bags[r]) for r in rows]
+            held = np.concatenate([at for at, _ in parts])
             seen[held] = True
             used = np.flatnonzero(seen)
             column[used] = np.arange(len(used))
             place = column[held]
             seen[used] = False
             x = np.zeros((len(rows), len(used)), np.float32)
-            x[np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows]), place] = np.concatenate([bags[r][1] for r in rows]) * scale
+            x[np.repeat(np.arange(len(rows)), [len(at) for at, _ in parts]), place] = np.concatenate([share for _, share in parts]) * scale
             embedded = weights["e"].take(used, axis=0)
             mean = x @ embedded
             z = mean @ weights["w"] + weights["b"]
@@ -210,16 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_i
 
     @F.pandas_udf(T.BinaryType())
     def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else b"".join(part.tobytes() for part in bag(t)) for t in texts], dtype=object)
-
-    def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        half = len(data) // 2
-        return np.frombuffer(data, np.uint32, half // 4), np.frombuffer(data, np.float32, half // 4, half)
+        return pd.Series([None if t is None else np.concatenate(counts(t)).tobytes() for t in texts], dtype=object)
 
     long = F.length("text") > SAMPLE_CHARS
     sent = found.filter(~aside).select("key", "label", F.when(~long, F.col("text")).alias("text"), counted(F.when(long, F.col("text"))).alias("bag"))
-    got = sorted(map(tuple, sent.collect()), key=lambda r: (r[0], r[1], r[2] or "", r[3] or b""))
-    model = learn([unpacked(data) if text is None else bag(text) for _, _, text, data in got], [v for _, v, _, _ in got])
+    # a partition at a time, so that the driver never holds the texts of all
+    got = [(k, v, bag(text) if data is None else packed(*np.split(np.frombuffer(data, np.uint32), 2))) for k, v, text, data in sent.toLocalIterator()]
+    got.sort(key=lambda row: row[:2])
+    model = learn([b for _, _, b in got], [v for _, v, _ in got])
     got = found.filter(aside).select("key", "label", _means(docs.sparkSession, model)("text").alias("m")).collect()
     got = sorted((key, v, m.mean, m.peak) for key, v, m in got)
     return model.weighed([(mean, peak) for _, _, mean, peak in got], [v for _, v, _, _ in got])
