@@ -49,7 +49,7 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 o
 
 
 def placed(text: str | None):
-    """Arrays of the bucket numbers of all n-grams of ``text``, and of their places in the block; an n-gram holds spaces at its ends only."""
+    """Arrays of the bucket numbers of all n-grams of ``text``, of their places in the block, and the block's places in all; an n-gram holds spaces at its ends only."""
     data = b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()) + b" "
     most = max(LENGTHS)
     for at in range(0, max(1, len(data) - 2), BLOCK):
@@ -72,12 +72,13 @@ def placed(text: str | None):
                 places.append(np.flatnonzero(~inner[:here]))
                 keys = rolled[places[-1]] * np.uint32(0x9E3779B1)
                 found.append(((keys >> np.uint32(7)) ^ (keys >> np.uint32(19))) & np.uint32(BUCKETS - 1))
-        yield (np.concatenate(found), np.concatenate(places)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        room = max(0, min(BLOCK, len(data) - 2 - at))
+        yield (np.concatenate(found), np.concatenate(places), room) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64), room)
 
 
 def blocks(text: str | None):
     """The bucket numbers of ``placed`` alone."""
-    return (keys for keys, _ in placed(text))
+    return (keys for keys, _, _ in placed(text))
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,17 +119,15 @@ class Model:
         """The mean of the text and the highest of its passages."""
         total, count, peak = 0.0, 0, -np.inf
         last = np.zeros((2, 1))  # the cell before the block
-        for keys, places in placed(text):
-            if len(keys) == 0:
-                last = np.zeros((2, 1))
-                continue
-            cells = places // CELL
-            both = np.concatenate([last, [np.bincount(cells, self.margin[keys]), np.bincount(cells)]], axis=1)
+        for keys, places, room in placed(text):
+            cells, size = places // CELL, -(-room // CELL)
+            both = np.concatenate([last, [np.bincount(cells, self.margin[keys], size), np.bincount(cells, minlength=size)]], axis=1)
             total += float(both[0, 1:].sum())
             count += len(keys)
             passages = both[:, 1:] + both[:, :-1]
-            peak = max(peak, float((passages[0] / (passages[1] + PASSAGE_SMOOTH)).max()))
-            last = both[:, -1:] if both.shape[1] > BLOCK // CELL else np.zeros((2, 1))
+            passages = passages[:, passages[1] > 0]
+            peak = max(peak, float((passages[0] / (passages[1] + PASSAGE_SMOOTH)).max(initial=-np.inf)))
+            last = both[:, -1:]
         return total / (count + SMOOTH), peak if count else 0.0
 
     def score(self, text: str | None) -> float:
@@ -252,7 +251,7 @@ def _means(spark, model: Model):
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """Add ``out``, 0 to 1. Null, empty and blank texts get the score of the bias alone."""
+    """Add ``out``, 0 to 1. Null, empty and blank texts, and those of one-byte words alone, get the score of the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast((model.margin, model.bias, model.mean, model.peak))
 
     @F.pandas_udf(T.DoubleType())
